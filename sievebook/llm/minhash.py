@@ -91,6 +91,24 @@ def _profiles(k: int, bands: int, rows: int):
     return run
 
 
+PARITY = [f"p{i}" for i in range(16)]
+
+
+def parity(items: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For each row 1,024 bits, in 16 numbers: whether an even or odd count of its items hashes there.
+
+    Two sets differ in at least as many items as they differ in bits.
+    """
+    out = [np.zeros(len(at) - 1, np.uint64) for _ in PARITY]
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        place = mix(items + _SCATTER)
+        bit, lane = _U(1) << (place & _U(63)), (place >> _U(6)) & _U(15)
+        for i, one in enumerate(out):
+            one[full] = np.bitwise_xor.reduceat(np.where(lane == _U(i), bit, _U(0)), at[:-1][full])
+    return [x.view(np.int64) for x in out]
+
+
 _SETS = pa.schema([("node", pa.int64()), ("items", pa.binary())])
 
 
@@ -100,7 +118,8 @@ def _sets(k: int, as_list: bool = False):
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 items, at = shingle_sets(data, offsets, k)
                 if as_list:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(items.view(np.int64)))], names=["node", "items"])
+                    parts = parity(items, at)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(items.view(np.int64))), *map(pa.array, parts)], names=["node", "items", *PARITY])
                     continue
                 raw = items.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])], pa.binary())], schema=_SETS)
@@ -179,16 +198,19 @@ def prefix_pairs(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Dat
     nodes that hold the shingle.
     """
     nodes = cut(nodes)
-    sets = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k, as_list=True), "node long, items array<long>")
-    held = cut(sets.select("node", F.explode("items").alias("item")))
+    sets = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k, as_list=True), "node long, items array<long>, " + ", ".join(f"{x} long" for x in PARITY))
+    sets = cut(sets.join(nodes, "node"))
+    held = sets.select("node", F.explode("items").alias("item"))
     often = held.groupBy("item").agg(F.count("*").alias("often"))
     ranked = held.join(often, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("items"))
-    ranked = ranked.join(nodes, "node").select("node", "n", "label", F.explode(F.expr(f"slice(items, 1, n - cast(ceil(n * {percent} / 100) as int) + 1)")).alias("one"))
-    first = cut(ranked.where("one.often > 1").select("node", "n", "label", F.col("one.item").alias("item")))
+    ranked = ranked.join(nodes, "node").select("node", "label", F.explode(F.expr(f"slice(items, 1, cast(n - ceil(n * {percent} / 100) as int) + 1)")).alias("one"))
+    first = cut(ranked.where("one.often > 1").select("node", "label", F.col("one.item").alias("item")))
     several = first.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("item")
-    first = first.join(several, "item")
-    other = first.select("item", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-    return first.join(other, "item").where(f"node < other and label <> other_label and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    first = first.join(several, "item").join(sets.select("node", "n", *PARITY), "node")
+    other = first.select("item", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), *(F.col(x).alias(f"o{x}") for x in PARITY))
+    apart = " + ".join(f"bit_count({x} ^ o{x})" for x in PARITY)
+    alike = f"{apart} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent})"
+    return first.join(other, (first["item"] == other["item"]) & F.expr(f"node < other and label <> other_label and 100 * least(n, m) >= {percent} * greatest(n, m) and {alike}")).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
