@@ -13,6 +13,7 @@ from .fingerprint import fingerprints
 from .licenses import license_scan
 from .minhash import near_duplicates
 from .packing import pack
+from .suffixes import remove_repeats
 
 
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +36,16 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op10_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"), threshold=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_transducer": op2_bpe_transducer,
     "op3_weighted_fingerprints": op3_weighted_fingerprints,
     "op6_nnls_packing": op6_nnls_packing,
     "op7_license_automaton": op7_license_automaton,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_suffix_radix_dedup": op10_suffix_radix_dedup,
 }
 ORACLES: dict[str, str] = {}
