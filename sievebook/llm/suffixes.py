@@ -199,7 +199,8 @@ def _contexts(threshold: int, gram: int, buckets: int, unit: str):
             for k, sel, i, m, c in deal(bucket_of(hashes[at], buckets), own, ids[lo:hi], marks[lo:hi]):
                 size = count[sel] + threshold - 1
                 where = np.repeat(begin[sel] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                out.append((k, i, m, c, planes((begin - bounds[own])[sel]), count[sel].astype(np.uint8 if width < 256 else "<u4").tobytes(), raw[where].tobytes()))
+                codes = (hashes[at[sel]] & _U(0xFFFFFFFF)).astype("<u4")
+                out.append((k, i, m, c, planes((begin - bounds[own])[sel]), count[sel].astype("<u2").tobytes() + codes.tobytes(), raw[where].tobytes()))
             if out:
                 yield _batch(out)
 
@@ -257,33 +258,83 @@ def repeated(digits: np.ndarray, start: np.ndarray, doc: np.ndarray, steps: list
 _RANGES = "doc_id long, mark long, ranges binary"
 
 
-def _decide(threshold: int, gram: int, unit: str):
-    """The further passes over the windows of a bucket; gives the ranges of symbols to remove by text."""
-    width, steps = threshold - gram + 1, [*range(0, threshold - 8, 8), threshold - 8]
+#: Symbols of contexts that a task expands at a time.
+PART = 2_000_000
+
+
+def decide(code: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, window in it) of the windows that a smaller doc has too; contexts, of ``size`` symbols each, lie one after the other in raw.
+
+    A context that a smaller doc has as a whole goes at once. The others are
+    expanded to their windows, if their gram has contexts of several docs.
+    """
+    base = np.concatenate([[0], np.cumsum(size)[:-1]])
+    up, down = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((DIGITS[raw] if raw.dtype == np.uint8 else raw) * up[: len(raw)], out=total[1:])
+    content = mix((total[base + size] - total[base]) * down[base] + size.astype(np.uint64))
+    del total
+    order = np.lexsort((doc, content, code))
+    c, h, d = code[order], content[order], doc[order]
+    fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])
+    first = np.flatnonzero(fresh)
+    whole = d > np.repeat(d[first], np.diff(np.append(first, len(d))))
+    copies, order, c, d = order[whole], order[~whole], c[~whole], d[~whole]
+    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+    rest = np.sort(order[np.repeat(several, np.diff(np.append(first, len(c))))])
+
+    count = size - threshold + 1
+    gone = np.repeat(copies, count[copies]), _counted(count[copies])
+    if len(rest):
+        if raw.dtype == np.uint8:
+            digits = raw.astype(np.uint64)
+            for bits in (8, 16, 32):
+                digits = (digits[: -(bits // 8)] << _U(bits)) | digits[bits // 8 :]
+        else:
+            digits = raw
+            for step in (1, 2, 4):
+                digits = mix(digits[:-step] * _U(0xC2B2AE3D27D4EB4F) + digits[step:])
+        context, inside = np.repeat(rest, count[rest]), _counted(count[rest])
+        found = repeated(digits, base[context] + inside, doc[context], [*range(0, threshold - 8, 8), threshold - 8])
+        gone = np.concatenate([gone[0], context[found]]), np.concatenate([gone[1], inside[found]])
+    return gone
+
+
+def _counted(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... below each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+_RANGES = "doc_id long, mark long, ranges binary"
+
+
+def _decide(threshold: int, unit: str):
+    """The further passes over the contexts of a bucket, some grams at a time; gives the ranges of symbols to remove by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_bucket(batches):
             ids, marks, own = owners(rows)
             places = np.concatenate([unplanes(r["places"]) for r in rows]).astype(np.int64)
-            count = np.concatenate([np.frombuffer(r["a"], np.uint8 if width < 256 else "<u4") for r in rows]).astype(np.int64)
+            size = np.concatenate([np.frombuffer(r["a"], "<u2", len(r["a"]) // 6) for r in rows]).astype(np.int64) + threshold - 1
+            code = np.concatenate([np.frombuffer(r["a"][len(r["a"]) // 3 :], "<u4") for r in rows])
             raw = np.frombuffer(b"".join(r["b"] for r in rows), np.uint8 if unit == "byte" else "<u8")
             rows.clear()
-            if unit == "byte":
-                digits = raw.astype(np.uint64)
-                for bits in (8, 16, 32):
-                    digits = (digits[: -(bits // 8)] << _U(bits)) | digits[bits // 8 :]
-            else:
-                digits = raw
-                for step in (1, 2, 4):
-                    digits = mix(digits[:-step] * _U(0xC2B2AE3D27D4EB4F) + digits[step:])
-            size = count + threshold - 1
-            base = np.concatenate([[0], np.cumsum(size)[:-1]])
-            inside = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-            context = np.repeat(np.arange(len(count)), count)
-            gone = repeated(digits, base[context] + inside, ids[own[context]], steps)
-            if not len(gone):
+            base = np.cumsum(size) - size
+            parts = 1 + len(raw) // PART
+            part = (code >> np.uint32(8)) % np.uint32(parts)
+            whos, spots = [], []
+            for k in range(parts):
+                mine = np.flatnonzero(part == k)
+                if not len(mine):
+                    continue
+                own_raw = raw[np.repeat(base[mine], size[mine]) + _counted(size[mine])]
+                context, inside = decide(code[mine], size[mine], ids[own[mine]], own_raw, threshold)
+                whos.append(own[mine[context]])
+                spots.append(places[mine[context]] + inside)
+            who, spot = np.concatenate(whos), np.concatenate(spots)
+            if not len(who):
                 continue
-            who, spot = own[context[gone]], places[context[gone]] + inside[gone]
             order = np.lexsort((spot, who))
             who, spot = who[order], spot[order]
             edge = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (spot[1:] > spot[:-1] + 1)]))
@@ -346,7 +397,7 @@ def removals(docs: DataFrame, threshold: int, unit: str, with_text: bool) -> Dat
     both = shared.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("mark"), F.lit(None).cast("string").alias("text")).unionByName(texts)
     both = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("text").isNotNull(), "mark", F.xxhash64("text"), "text", "doc_id")
     contexts = both.mapInArrow(_contexts(threshold, gram, buckets, unit), _BLOB)
-    ranges = cut(contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(threshold, gram, unit), _RANGES))
+    ranges = cut(contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(threshold, unit), _RANGES))
     by_text = ranges.groupBy("doc_id", "mark").agg(F.collect_list("ranges").alias("ranges"))
     return usable.join(by_text, ["doc_id", "mark"]).select("doc_id", "mark", "text", "ranges").mapInArrow(_remove(unit, with_text), _CUT)
 
