@@ -118,7 +118,7 @@ def _find(threshold: int, gram: int, buckets: int, unit: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype("<u4")
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi, data, offsets in chunks(batch.column(2)):
                 values, bounds, _, _ = symbols(data, offsets, unit)
                 chosen, hashes, _, _ = anchors(values, bounds, threshold, gram)
@@ -146,40 +146,45 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 def owners(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids and marks of the owners, and the owner of each record."""
-    ids, marks = np.frombuffer(b"".join(r["ids"] for r in rows), "<i8"), np.frombuffer(b"".join(r["marks"] for r in rows), "<u4")
+    ids, marks = np.frombuffer(b"".join(r["ids"] for r in rows), "<i8"), np.frombuffer(b"".join(r["marks"] for r in rows), "<i8")
     return ids, marks, np.repeat(np.arange(len(ids)), np.frombuffer(b"".join(r["counts"] for r in rows), "<u4"))
 
 
-def _shared(buckets: int):
-    """First pass: of the anchors of a bucket those whose gram several texts have, dealt out by text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_bucket(batches):
-            ids, marks, own = owners(rows)
-            code = np.frombuffer(b"".join(r["a"] for r in rows), "<u4")
-            places = np.concatenate([unplanes(r["places"]) for r in rows])
-            order = np.argsort(code)
-            code = code[order]
-            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            mark = marks[own[order]]
-            several = np.minimum.reduceat(mark, first) < np.maximum.reduceat(mark, first)
-            keep = np.sort(order[np.repeat(several, np.diff(np.append(first, len(order))))])
-            if len(keep):
-                own, places = own[keep], places[keep]
-                yield _batch([(k, i, m, c, planes(places[at]), b"", b"") for k, at, i, m, c in deal(marks[own] % np.uint32(buckets), own, ids, marks)])
-
-    return run
-
-
-_MIXED = f"{_BLOB}, doc_id long, mark long, text string"
+_PLACES = "doc_id long, mark long, places binary"
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First pass: of the anchors of a bucket those whose gram several texts have, by text; of equal texts the smallest id stands for all."""
+    for rows in by_bucket(batches):
+        ids, marks, own = owners(rows)
+        code = np.frombuffer(b"".join(r["a"] for r in rows), "<u4")
+        places = np.concatenate([unplanes(r["places"]) for r in rows])
+        order = np.argsort(code)
+        code = code[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        size = np.diff(np.append(first, len(order)))
+        mark = marks[own[order]]
+        several = np.repeat(np.minimum.reduceat(mark, first) < np.maximum.reduceat(mark, first), size)
+        order, code, mark = order[several], code[several], mark[several]
+        if not len(order):
+            continue
+        again = np.lexsort((ids[own[order]], mark, code))
+        order, code, mark = order[again], code[again], mark[again]
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (mark[1:] != mark[:-1])]))
+        who = ids[own[order]]
+        keep = np.sort(order[who == np.repeat(who[first], np.diff(np.append(first, len(who))))])
+        own, places = own[keep], places[keep]
+        edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        blobs = [planes(places[a:b]) for a, b in zip(edge, [*edge[1:], len(own)])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own[edge]]), pa.array(marks[own[edge]]), pa.array(blobs, pa.binary())], names=["doc_id", "mark", "places"])
 
 
 def _contexts(threshold: int, gram: int, buckets: int, unit: str):
-    """Rows of a bucket of texts: first blobs of shared anchors, then the texts by mark and id; gives the windows of each text's shared anchors by bucket of their gram."""
+    """From texts and the places of their shared anchors: the windows of these, by bucket of their gram."""
     width = threshold - gram + 1
 
     def flush(group: list[tuple[int, int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        ids, marks = np.array([g[0] for g in group], "<i8"), np.array([g[1] for g in group], "<u4")
+        ids, marks = np.array([g[0] for g in group], "<i8"), np.array([g[1] for g in group], "<i8")
         for lo, hi, data, offsets in chunks(pa.array([g[2] for g in group], pa.string())):
             values, bounds, _, _ = symbols(data, offsets, unit)
             _, hashes, order, least = anchors(values, bounds, threshold, gram)
@@ -205,28 +210,14 @@ def _contexts(threshold: int, gram: int, buckets: int, unit: str):
                 yield _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[tuple[int, int], list[np.ndarray]] = {}
-        bucket, group, size, last = None, [], 0, None
+        group, size = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != bucket:
+            for doc, mark, text, places in zip(*(batch.column(i) for i in range(4))):
+                group.append((doc.as_py(), mark.as_py(), text.as_py(), np.sort(np.concatenate([unplanes(x) for x in places.as_py()]))))
+                size += len(group[-1][2])
+                if size > 2 << 20:
                     yield from flush(group)
-                    bucket, group, size, last, places = row["bucket"], [], 0, None, {}
-                if row["text"] is None:
-                    ids, marks, own = owners([row])
-                    spots = unplanes(row["places"])
-                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    for a, b in zip(first, [*first[1:], len(own)]):
-                        places.setdefault((int(ids[own[a]]), int(marks[own[a]])), []).append(spots[a:b])
-                    continue
-                same, last = last == (row["mark"], row["text"]), (row["mark"], row["text"])
-                found = places.pop((row["doc_id"], row["mark"]), None)
-                if found and not same:  # of equal texts the smallest id stands for all
-                    group.append((row["doc_id"], row["mark"], row["text"], np.sort(np.concatenate(found))))
-                    size += len(row["text"])
-                    if size > 2 << 20:
-                        yield from flush(group)
-                        group, size = [], 0
+                    group, size = [], 0
         yield from flush(group)
 
     return run
@@ -343,7 +334,7 @@ def _decide(threshold: int, unit: str):
             who = who[edge]
             first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
             ends = np.append(first[1:], len(who))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who[first]]), pa.array(marks[who[first]].astype(np.int64)), pa.array([pairs[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["doc_id", "mark", "ranges"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who[first]]), pa.array(marks[who[first]]), pa.array([pairs[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["doc_id", "mark", "ranges"])
 
     return run
 
@@ -382,7 +373,7 @@ def _remove(unit: str, with_text: bool):
 
 def _prepared(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("sha", F.sha2("text", 256)).withColumn("mark", F.conv(F.substring("sha", 1, 8), 16, 10).cast("long"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("sha", F.sha2("text", 256)).withColumn("mark", F.xxhash64("sha"))
 
 
 def removals(docs: DataFrame, threshold: int, unit: str, with_text: bool) -> DataFrame:
@@ -392,14 +383,13 @@ def removals(docs: DataFrame, threshold: int, unit: str, with_text: bool) -> Dat
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= threshold)).select("doc_id", "mark", "text")
     found = usable.mapInArrow(_find(threshold, gram, buckets, unit), _BLOB)
-    shared = cut(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets), _BLOB))
-    texts = usable.select((F.col("mark") % buckets).cast("int").alias("bucket"), *(F.lit(None).cast("binary").alias(x) for x in _NAMES[1:]), "doc_id", "mark", "text")
-    both = shared.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("mark"), F.lit(None).cast("string").alias("text")).unionByName(texts)
-    both = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("text").isNotNull(), "mark", F.xxhash64("text"), "text", "doc_id")
-    contexts = both.mapInArrow(_contexts(threshold, gram, buckets, unit), _BLOB)
-    ranges = cut(contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(threshold, unit), _RANGES))
+    shared = cut(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _PLACES))
+    places = shared.groupBy("doc_id", "mark").agg(F.collect_list("places").alias("places"))
+    # Texts meet their anchors and, later in the same plan, their ranges on the same key: they are shuffled once, and the exchange is used twice.
+    contexts = usable.join(places.hint("shuffle_merge"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "places").mapInArrow(_contexts(threshold, gram, buckets, unit), _BLOB)
+    ranges = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(threshold, unit), _RANGES)
     by_text = ranges.groupBy("doc_id", "mark").agg(F.collect_list("ranges").alias("ranges"))
-    return usable.join(by_text, ["doc_id", "mark"]).select("doc_id", "mark", "text", "ranges").mapInArrow(_remove(unit, with_text), _CUT)
+    return usable.join(by_text.hint("shuffle_merge"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "ranges").mapInArrow(_remove(unit, with_text), _CUT)
 
 
 def remove_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
@@ -437,7 +427,7 @@ def without_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
     first = docs.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
     names = documents.columns
     keys = documents.withColumn("__sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    keys = keys.withColumn("__mark", F.conv(F.substring("__sha", 1, 8), 16, 10).cast("long"))
+    keys = keys.withColumn("__mark", F.xxhash64("__sha"))
     cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), F.col("kept").alias("__kept"))
     first = first.select(F.col("sha").alias("__s"), F.col("first").alias("__first"))
     rows = keys.join(first, F.col("__sha") == F.col("__s"), "left").join(cuts, (F.col("doc_id") == F.col("__id")) & (F.col("__mark") == F.col("__m")), "left")
