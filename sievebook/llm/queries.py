@@ -12,8 +12,16 @@ from .common import read
 from .fingerprint import fingerprints
 from .licenses import license_scan
 from .minhash import near_duplicates
+from .neighbours import nearest
 from .packing import pack
+from .quality import judge as judge_quality
 from .suffixes import remove_repeats
+from .urls import judge as judge_urls
+from .warc import archive_pages
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
 
 
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +32,14 @@ def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(read(spark, sf_dir, "documents"))
+
+
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op6_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -32,6 +48,10 @@ def op7_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(read(spark, sf_dir, "pages"), least=0)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -41,10 +61,14 @@ def op10_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_bpe_transducer": op2_bpe_transducer,
     "op3_weighted_fingerprints": op3_weighted_fingerprints,
+    "op4_quality_weak_labels": op4_quality_weak_labels,
+    "op5_projection_forest": op5_projection_forest,
     "op6_nnls_packing": op6_nnls_packing,
     "op7_license_automaton": op7_license_automaton,
+    "op8_warc_chunks": op8_warc_chunks,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_suffix_radix_dedup": op10_suffix_radix_dedup,
 }

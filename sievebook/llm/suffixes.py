@@ -423,14 +423,15 @@ def without_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
     are as many as the threshold.
     """
     docs = _prepared(documents)
-    cuts = removals(docs, threshold, "word", True).select("doc_id", "mark", F.decode("kept", "UTF-8").alias("kept")).dropDuplicates(["doc_id", "mark"])
-    first = docs.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    names = documents.columns
-    keys = documents.withColumn("__sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    keys = keys.withColumn("__mark", F.xxhash64("__sha"))
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), F.col("kept").alias("__kept"))
-    first = first.select(F.col("sha").alias("__s"), F.col("first").alias("__first"))
-    rows = keys.join(first, F.col("__sha") == F.col("__s"), "left").join(cuts, (F.col("doc_id") == F.col("__id")) & (F.col("__mark") == F.col("__m")), "left")
-    many = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")) >= threshold
-    text = F.when((F.col("doc_id") > F.col("__first")) & many, F.regexp_replace(F.col("text"), r"(?s)[^ \t\n\x0B\f\r](?:.*[^ \t\n\x0B\f\r])?", "")).otherwise(F.coalesce("__kept", "text"))
-    return rows.select(*(text.alias("text") if n == "text" else F.col(n) for n in names))
+    cuts = removals(docs, threshold, "word", True).select("doc_id", "mark", F.decode("kept", "UTF-8").alias("kept"))
+    words = F.size(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+    slim = docs.where("doc_id is not null").select("doc_id", "mark", "sha", words.alias("words"))
+    first = slim.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    copies = slim.where(F.col("words") >= threshold).join(first, "sha").where("doc_id > first").select("doc_id", "mark", F.lit(None).cast("string").alias("kept"))
+    changed = cuts.unionByName(copies).groupBy("doc_id", "mark").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept"), F.lit(True).alias("__changed"))
+    mark = F.xxhash64(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    rows = documents.withColumn("__own", mark).join(changed, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
+    # Of a copy only the white space around its words stays.
+    edges = F.regexp_replace("text", r"(?s)[^ \t\n\x0B\f\r](?:.*[^ \t\n\x0B\f\r])?", "")
+    text = F.when(F.col("__changed"), F.coalesce("__kept", edges)).otherwise(F.col("text"))
+    return rows.select(*(text.alias("text") if n == "text" else F.col(n) for n in documents.columns))
