@@ -117,7 +117,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text.as_py() or "")
             real.append(flag.as_py())
             size += len(texts[-1])
-            if size > 4 << 20:
+            if size > 2 << 20:
                 yield result(ids, texts, real)
                 ids, texts, real, size = ids[-1:], texts[-1:], real[-1:], len(texts[-1])
     if texts:

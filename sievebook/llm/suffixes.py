@@ -215,7 +215,7 @@ def _contexts(threshold: int, gram: int, buckets: int, unit: str):
             for doc, mark, text, places in zip(*(batch.column(i) for i in range(4))):
                 group.append((doc.as_py(), mark.as_py(), text.as_py(), np.sort(np.concatenate([unplanes(x) for x in places.as_py()]))))
                 size += len(group[-1][2])
-                if size > 2 << 20:
+                if size > 1 << 20:
                     yield from flush(group)
                     group, size = [], 0
         yield from flush(group)
@@ -250,7 +250,7 @@ _RANGES = "doc_id long, mark long, ranges binary"
 
 
 #: Symbols of contexts that a task expands at a time.
-PART = 2_000_000
+PART = 1_000_000
 
 
 def decide(code: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
