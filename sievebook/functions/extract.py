@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .dates import parse_numeric_date
 from .text import clean_ws, fold
@@ -41,7 +42,7 @@ def digit_runs(text: Column, digits: int = 13) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<!\d)(\d{{{digits}}})(?!\d)"), F.lit(1))
 
 
-_DOCUMENT = "array<struct<kind:string,series:string,number:string,raw:string>>"
+_DOCUMENT = ArrayType(StructType([StructField(x, StringType()) for x in ("kind", "series", "number", "raw")]))
 _KINDS = [("buletin", r"buletin|carte de identitate|id card"), ("pasaport", r"pa[sșş]aport|passport"), ("permis", r"permis")]
 
 

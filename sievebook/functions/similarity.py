@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -55,13 +56,13 @@ def name_score(query: list[str], name: list[str]) -> float:
     return 0.85 * total / len(query) + 0.15 * taken / len(name)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         yield pd.Series([jaro_winkler(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_score_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         yield pd.Series([name_score(list(x), list(y)) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")

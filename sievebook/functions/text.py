@@ -20,7 +20,7 @@ CYRILLIC = {
 # Spellings taken for the same sound, in this order.
 SOUNDS = [("sch", "s"), ("sh", "s"), ("ch", "c"), ("kh", "h"), ("ks", "x"), ("ts", "t"), ("y", "i"), ("ii", "i")]
 #: Blocks whose letters are decomposed by a generated table.
-BLOCKS = [(0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2070, 0x209C), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
+BLOCKS = [(0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2070, 0x209C), (0x2160, 0x217F), (0x2460, 0x24E9), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
 
 
 @lru_cache
