@@ -59,12 +59,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 def grams(text: Column, field: str, buckets: int = BUCKETS) -> Column:
     """Hashed n-grams of a text between marks, the field's name hashed with them."""
     marked = F.concat(F.lit("^"), text, F.lit("$"))
-    parts = []
-    for n in SIZES:
-        last = F.length(marked) - (n - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.pmod(F.xxhash64(F.lit(field), F.substr(marked, i, F.lit(n))), F.lit(buckets)).cast("int")))
-    return F.concat(*parts)
+    return F.concat(*(_of_size(marked, field, n, buckets) for n in SIZES))
+
+
+def _of_size(marked: Column, field: str, n: int, buckets: int) -> Column:
+    last = F.length(marked) - (n - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(field), F.substr(marked, i, F.lit(n))), F.lit(buckets)).cast("int"))
 
 
 def fit(rows: list[tuple[list[int], int]], buckets: int = BUCKETS) -> tuple[list[float], float]:

@@ -34,6 +34,15 @@ def test_url_filter_parts_and_rules(spark):
     assert urls.judge(rows.where("false")).count() == 0
 
 
+def test_url_grams(spark):
+    from pyspark.sql import functions as F
+
+    grams = spark.range(1).select(urls.grams(F.lit("abc"), "h")).first()[0]
+    parts = ["^ab", "abc", "bc$", "^abc", "abc$"]
+    want = spark.range(1).select(*(F.pmod(F.xxhash64(F.lit("h"), F.lit(x)), F.lit(urls.BUCKETS)) for x in parts)).first()
+    assert grams == list(want)
+
+
 def test_url_model_on_held_out_rows(spark):
     table = urls.labelled()
     random.Random(4).shuffle(table)
