@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: Pieces, and states of the transducer, kept before their tables are emptied.
 CACHE, STATES = 800_000, 200_000
 
@@ -271,5 +273,6 @@ def encode_decode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                 back_sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch between the JVM and Python. Texts are long, so Spark's 10,000 would hold tens of MB at both ends.
+BATCH = 500
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session with small Arrow batches, unless its user chose a size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH))
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import LOWER_DIGITS, SPACED, chunks, row_of, shingles, span_hashes, word_spans
+from .common import bounded
 
 BITS, COORDINATES, BLOCK = 17, 64, 4096
 
@@ -137,7 +138,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     Texts are shuffled once, into ranges of doc_id; one row for each range,
     the document that follows it, is added from the driver's list of ranges.
     """
-    spark = documents.sparkSession
+    spark = bounded(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import ALNUM, LOWER_DIGITS, chunks, row_of, span_hashes, word_spans
+from .common import bounded
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Short notices by which licences are declared, in their usual words.
@@ -223,4 +224,5 @@ def license_scan(documents: DataFrame) -> DataFrame:
     wordless texts have counts 0, empty labels and score 0. Rows are
     independent; other columns are not read.
     """
+    bounded(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, _OUT)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import LOWER_DIGITS, SPACED, chunks, distinct_by_row, mix, row_of, shingles, span_hashes, word_spans
-from .common import components, cut
+from .common import bounded, components, cut
 
 BANDS, ROWS = 25, 5
 _U = np.uint64
@@ -157,6 +157,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     is kept. Rows that repeat an id are one document: if their texts differ,
     one of them stands for the id in comparisons. Other columns are not read.
     """
+    bounded(documents.sparkSession)
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     profiles = cut(docs.mapInArrow(_profiles(k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
     member = ["set_a", "set_b", "n_shingles"]

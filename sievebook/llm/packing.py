@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import bounded, cut
+
 WINDOW = 1024
 #: In combinations of three lengths the smallest is a multiple of this.
 STEP = 8
@@ -173,9 +175,7 @@ def pack(documents: DataFrame, path: str, pattern: str, window: int = WINDOW) ->
     null id stays null; an empty table gives no rows. Other columns are not
     read.
     """
-    from .common import cut
-
-    spark = documents.sparkSession
+    spark = bounded(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     parts = cut(docs.mapInArrow(_measure(path, pattern, window), "doc_id long, mark long, part long, tokens long, rest long, rank long, whole_before long, whole_crc array<long>, rest_crc long"))
 
@@ -192,7 +192,7 @@ def pack(documents: DataFrame, path: str, pattern: str, window: int = WINDOW) ->
         histogram[rest] = n if rest else 0
         whole += w
     placed, left, used, total = layout(histogram, window)
-    numbered = parts.join(ranked, ["part", "rest"]).join(by_part, "part").withColumn("place", F.col("rank") + F.col("rank_before"))
+    numbered = parts.join(ranked.join(by_part, "part"), ["part", "rest"]).withColumn("place", F.col("rank") + F.col("rank_before"))
 
     own = numbered.where("size(whole_crc) > 0").select("doc_id", "tokens", "whole_before", "part_whole", F.posexplode("whole_crc").alias("i", "crc"))
     pieces = own.select("doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), (F.col("part_whole") + F.col("whole_before") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import DIGITS, SPACED, byte_set, chunks, row_of, span_hashes, word_spans
+from .common import bounded
 
 #: Documents that fit the scorer; hashed features; a document is rejected from this score on.
 SAMPLE, FEATURES, REJECT = 3000, 1024, 0.5
@@ -162,6 +163,7 @@ class Model:
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     """EM over the vote patterns of all documents; the scorer on at most ``sample`` of them, drawn by a hash of the text."""
+    bounded(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seen = docs.mapInArrow(_vote, "doc_id long, pattern long").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
     codes, counts = np.array([r.pattern for r in seen], np.int64), np.array([r.n for r in seen], float)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import DIGITS, SPACED, chunks, mix, powers, row_of, span_hashes, word_spans
-from .common import cut
+from .common import bounded, cut
 
 _U = np.uint64
 _TOP = np.uint32(0xFFFFFFFF)
@@ -378,7 +378,7 @@ def _prepared(documents: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, threshold: int, unit: str, with_text: bool) -> DataFrame:
     """doc_id, mark, n_removed, n_spans, kept_sha256, kept of the texts that lose symbols to unequal texts with smaller ids."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     gram = max(8, threshold * 2 // 5)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= threshold)).select("doc_id", "mark", "text")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import bounded, cut, shared_dir
 
 CHUNK = 1 << 18
 DATE = "2024-01-01T00:00:00Z"
@@ -141,6 +141,7 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUN
     none; it revisits if a page with id has its payload. Null html is the
     empty payload, a null url is written as urn:none.
     """
+    bounded(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.coalesce("html", F.lit(""))
     slim = rows.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
