@@ -259,37 +259,59 @@ def decide(code: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray,
     A context that a smaller doc has as a whole goes at once. The others are
     expanded to their windows, if their gram has contexts of several docs.
     """
-    base = np.concatenate([[0], np.cumsum(size)[:-1]])
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((DIGITS[raw] if raw.dtype == np.uint8 else raw) * up[: len(raw)], out=total[1:])
-    content = mix((total[base + size] - total[base]) * down[base] + size.astype(np.uint64))
-    del total
+    base, content = np.cumsum(size) - size, np.empty(len(size), np.uint64)
+    for lo, hi in _slices(size):
+        part = raw[base[lo] : base[hi - 1] + size[hi - 1]]
+        at = base[lo:hi] - base[lo]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((DIGITS[part] if part.dtype == np.uint8 else part) * up[: len(part)], out=total[1:])
+        content[lo:hi] = mix((total[at + size[lo:hi]] - total[at]) * down[at] + size[lo:hi].astype(np.uint64))
     order = np.lexsort((doc, content, code))
     c, h, d = code[order], content[order], doc[order]
-    fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])
-    first = np.flatnonzero(fresh)
-    whole = d > np.repeat(d[first], np.diff(np.append(first, len(d))))
-    copies, order, c, d = order[whole], order[~whole], c[~whole], d[~whole]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
-    rest = np.sort(order[np.repeat(several, np.diff(np.append(first, len(c))))])
-
-    count = size - threshold + 1
-    gone = np.repeat(copies, count[copies]), _counted(count[copies])
-    if len(rest):
-        if raw.dtype == np.uint8:
-            digits = raw.astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])]))
+    members = np.diff(np.append(first, len(d)))
+    whole = d > np.repeat(d[first], members)
+    copies, count = order[whole], size - threshold + 1
+    gone = [np.repeat(copies, count[copies])], [_counted(count[copies])]
+    # One context stands for all equal ones of its document.
+    alike = members - np.add.reduceat(whole.astype(np.int64), first)
+    c, d = c[first], d[first]
+    gram = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    several = np.repeat(np.minimum.reduceat(d, gram) < np.maximum.reduceat(d, gram), np.diff(np.append(gram, len(c))))
+    rest, c = np.flatnonzero(several), c[several]
+    parts = 1 + int(size[order[first[rest]]].sum()) // PART
+    part_of = (c >> np.uint32(8)) % np.uint32(parts)
+    for k in range(parts):
+        group = rest[part_of == k]
+        if not len(group):
+            continue
+        own = order[first[group]]
+        length, windows = size[own], count[own]
+        part = raw[np.repeat(base[own], length) + _counted(length)]
+        if part.dtype == np.uint8:
+            digits = part.astype(np.uint64)
             for bits in (8, 16, 32):
                 digits = (digits[: -(bits // 8)] << _U(bits)) | digits[bits // 8 :]
         else:
-            digits = raw
+            digits = part
             for step in (1, 2, 4):
                 digits = mix(digits[:-step] * _U(0xC2B2AE3D27D4EB4F) + digits[step:])
-        context, inside = np.repeat(rest, count[rest]), _counted(count[rest])
-        found = repeated(digits, base[context] + inside, doc[context], [*range(0, threshold - 8, 8), threshold - 8])
-        gone = np.concatenate([gone[0], context[found]]), np.concatenate([gone[1], inside[found]])
-    return gone
+        context, inside = np.repeat(np.arange(len(group)), windows), _counted(windows)
+        found = repeated(digits, (np.cumsum(length) - length)[context] + inside, doc[own][context], [*range(0, threshold - 8, 8), threshold - 8])
+        times = alike[group[context[found]]]
+        gone[0].append(order[np.repeat(first[group[context[found]]], times) + _counted(times)])
+        gone[1].append(np.repeat(inside[found], times))
+    return np.concatenate(gone[0]), np.concatenate(gone[1])
+
+
+def _slices(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of contexts of at most PART symbols, or one."""
+    ends, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def _counted(counts: np.ndarray) -> np.ndarray:
@@ -311,19 +333,8 @@ def _decide(threshold: int, unit: str):
             code = np.concatenate([np.frombuffer(r["a"][len(r["a"]) // 3 :], "<u4") for r in rows])
             raw = np.frombuffer(b"".join(r["b"] for r in rows), np.uint8 if unit == "byte" else "<u8")
             rows.clear()
-            base = np.cumsum(size) - size
-            parts = 1 + len(raw) // PART
-            part = (code >> np.uint32(8)) % np.uint32(parts)
-            whos, spots = [], []
-            for k in range(parts):
-                mine = np.flatnonzero(part == k)
-                if not len(mine):
-                    continue
-                own_raw = raw[np.repeat(base[mine], size[mine]) + _counted(size[mine])]
-                context, inside = decide(code[mine], size[mine], ids[own[mine]], own_raw, threshold)
-                whos.append(own[mine[context]])
-                spots.append(places[mine[context]] + inside)
-            who, spot = np.concatenate(whos), np.concatenate(spots)
+            context, inside = decide(code, size, ids[own], raw, threshold)
+            who, spot = own[context], places[context] + inside
             if not len(who):
                 continue
             order = np.lexsort((spot, who))
