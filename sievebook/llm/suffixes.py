@@ -253,10 +253,10 @@ _RANGES = "doc_id long, mark long, ranges binary"
 PART = 1_000_000
 
 
-def decide(code: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, window in it) of the windows that a smaller doc has too; contexts, of ``size`` symbols each, lie one after the other in raw.
+def decide(code: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts that a smaller doc has as a whole; (context, window in it) of the windows of others that a smaller doc has too; contexts, of ``size`` symbols each, lie one after the other in raw.
 
-    A context that a smaller doc has as a whole goes at once. The others are
+    Of contexts that are equal within a doc one is compared. They are
     expanded to their windows, if their gram has contexts of several docs.
     """
     base, content = np.cumsum(size) - size, np.empty(len(size), np.uint64)
@@ -273,7 +273,7 @@ def decide(code: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray,
     members = np.diff(np.append(first, len(d)))
     whole = d > np.repeat(d[first], members)
     copies, count = order[whole], size - threshold + 1
-    gone = [np.repeat(copies, count[copies])], [_counted(count[copies])]
+    gone = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     # One context stands for all equal ones of its document.
     alike = members - np.add.reduceat(whole.astype(np.int64), first)
     c, d = c[first], d[first]
@@ -302,7 +302,7 @@ def decide(code: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray,
         times = alike[group[context[found]]]
         gone[0].append(order[np.repeat(first[group[context[found]]], times) + _counted(times)])
         gone[1].append(np.repeat(inside[found], times))
-    return np.concatenate(gone[0]), np.concatenate(gone[1])
+    return copies, np.concatenate(gone[0]), np.concatenate(gone[1])
 
 
 def _slices(size: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -333,19 +333,22 @@ def _decide(threshold: int, unit: str):
             code = np.concatenate([np.frombuffer(r["a"][len(r["a"]) // 3 :], "<u4") for r in rows])
             raw = np.frombuffer(b"".join(r["b"] for r in rows), np.uint8 if unit == "byte" else "<u8")
             rows.clear()
-            context, inside = decide(code, size, ids[own], raw, threshold)
+            copies, context, inside = decide(code, size, ids[own], raw, threshold)
+            del raw
             who, spot = own[context], places[context] + inside
-            if not len(who):
-                continue
             order = np.lexsort((spot, who))
             who, spot = who[order], spot[order]
-            edge = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (spot[1:] > spot[:-1] + 1)]))
-            last = np.append(edge[1:], len(who)) - 1
-            pairs = np.stack([spot[edge], spot[last] + threshold], axis=1).astype("<u4")
-            who = who[edge]
-            first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-            ends = np.append(first[1:], len(who))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who[first]]), pa.array(marks[who[first]]), pa.array([pairs[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["doc_id", "mark", "ranges"])
+            edge = np.flatnonzero(np.concatenate([[len(who) > 0], (who[1:] != who[:-1]) | (spot[1:] > spot[:-1] + 1)])) if len(who) else np.zeros(0, np.int64)
+            last = np.append(edge[1:], len(who))[: len(edge)] - 1
+            owner = np.concatenate([who[edge], own[copies]])
+            pairs = np.stack([np.concatenate([spot[edge], places[copies]]), np.concatenate([spot[last] + threshold, places[copies] + size[copies]])], axis=1).astype("<u4")
+            if not len(owner):
+                continue
+            order = np.argsort(owner, kind="stable")
+            owner, pairs = owner[order], pairs[order]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            ends = np.append(first[1:], len(owner))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[first]]), pa.array(marks[owner[first]]), pa.array([pairs[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["doc_id", "mark", "ranges"])
 
     return run
 
