@@ -97,26 +97,6 @@ def role_weight(function: Column) -> Column:
     return out
 
 
-def decision_number(name: Column) -> Column:
-    """The number after 'nr.' or 'cis' in a file name (F-16)."""
-    return F.regexp_extract(name, r"(?i)(?:nr\.?\s*|cis\s+)(\d{1,3})", 1).try_cast("int")
-
-
-def measures(text: Column, freeze: str = "blocarea", ban: str = "calatori") -> Column:
-    """Measures named in the head of a decision (F-15)."""
-    head = fold(F.substring(text, 1, 20000))
-    return F.array_compact(F.array(F.when(F.contains(head, F.lit(freeze)), "asset_freeze"), F.when(F.contains(head, F.lit(ban)), "travel_ban")))
-
-
-def regime(title: Column, head: Column) -> Column:
-    """The first regime named (F-14)."""
-    x = fold(F.concat_ws(" ", title, F.substring(head, 1, 2500)))
-    out = F.lit("Altele")
-    for name, pattern in reversed([("UK", r"regatul? unit|marea britanie"), ("SUA", r"\bsua\b|statele unite"), ("Canada", r"\bcanad"), ("ONU", r"\bonu\b|natiunilor unite|consiliul(?:ui)? de securitate"), ("UE", r"\bue\b|uniunii europene|consiliului \(ue\)|uniunea europeana")]):
-        out = F.when(x.rlike(pattern), name).otherwise(out)
-    return out
-
-
 def is_bad_name(name: Column) -> Column:
     """Names that are none: too short, only digits, or without three letters in a row (F-20)."""
     f = fold(name)

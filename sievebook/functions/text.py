@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -96,6 +97,11 @@ def clean_ws(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), "\n{3,}", "\n\n"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(text: Column, chars: str = r"\s") -> Column:
     return F.regexp_replace(text, rf"(?U)^[{chars}]+|[{chars}]+$", "")
 
@@ -126,18 +132,26 @@ def title_program(title: Column) -> Column:
 
 
 def drop_footnote(name: Column) -> Column:
-    """A dangling parenthesis and a trailing footnote mark ' 1' out (T-12)."""
-    opens = F.length(name) - F.length(F.replace(name, F.lit("("), F.lit("")))
-    closes = F.length(name) - F.length(F.replace(name, F.lit(")"), F.lit("")))
-    x = F.when(opens > closes, F.regexp_replace(name, r"\s*\([^()]*$", "")).otherwise(name)
-    return F.trim(F.regexp_replace(x, r"\s+1\s*\*?$", ""))
+    """A parenthesis left open or closing nothing at the end and a trailing mark ' 1' or ' 1*' out; other numbers belong to the name (T-12)."""
+
+    def unpaired(x: Column, last: str, other: str) -> Column:
+        count = lambda c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+        return F.when(x.endswith(last) & (count(last) > count(other)), F.regexp_replace(x, r".[\s,;]*$", "")).otherwise(x)
+
+    x = let(strip(name, " ,;"), lambda x: F.regexp_replace(unpaired(x, "(", ")"), "[ ,;]+$", ""))
+    x = let(x, lambda x: F.regexp_replace(unpaired(x, ")", "("), "[ ,;]+$", ""))
+    return strip(F.regexp_replace(x, r"(?U)\s+1\*?$", ""), " ,;")
+
+
+# Runs of Cyrillic letters, and of those of Arabic.
+_ARABIC = "\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF"
+SCRIPT_RUN = rf"(?U)([\u0400-\u04FF][\u0400-\u04FF\s\-]{{2,80}}|[{_ARABIC}][{_ARABIC}\s\-]{{1,80}})"
 
 
 def peel_scripts(text: Column) -> tuple[Column, Column]:
-    """(the text without them, its runs of Cyrillic and Arabic letters) (T-15)."""
-    cyrillic, arabic = r"([Ѐ-ӿ][Ѐ-ӿ .'-]{2,})", r"([؀-ۿ][؀-ۿ ]+)"
-    runs = F.concat(F.regexp_extract_all(text, F.lit(cyrillic), F.lit(1)), F.regexp_extract_all(text, F.lit(arabic), F.lit(1)))
-    return strip(F.regexp_replace(F.regexp_replace(text, cyrillic, " "), arabic, " ")), F.transform(runs, F.trim)
+    """(the text without them, its runs of Cyrillic and Arabic letters in order) (T-15)."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit(SCRIPT_RUN), F.lit(1)), clean_ws)
+    return clean_ws(F.regexp_replace(text, SCRIPT_RUN, " ")), F.filter(runs, lambda r: r != "")
 
 
 def highlight(text: Column, query: Column, before: str = "<mark>", after: str = "</mark>") -> Column:

@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.rows import is_junk_line
+from ..functions.text import fold
+
+# Labels that begin the column of identification.
+INFO_LABELS = ["functia", "functie", "cetatenie", "cetatenia", "sexul", "adresa", "grad", "titlu", "pozitie", "nationalitate"]
+
 
 def leaders(values: DataFrame, keys: list[str], value: str, order: list[str], gap: float) -> DataFrame:
     """Adds cluster: a new one begins where value is more than gap past the first of the current one (L-01).
@@ -93,3 +99,47 @@ def assemble(rows: DataFrame, keys: list[str], order: list[str], is_start, text:
     numbered = rows.withColumn("record", F.sum(F.when(is_start, 1).otherwise(0)).over(w)).where("record > 0")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))), lambda r: r["_t"]), separator)
     return numbered.groupBy(*keys, "record").agg(F.count("*").alias("rows"), joined.alias(text))
+
+
+def snap_info_edge(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges whose second one moves to the labels under it, if three or more align inside its neighbours and more than 10 away (L-06).
+
+    rows has file, page, row, ord, x0, text; edges has file, page, edges. The
+    first label of each row counts; pages without labels keep their edges.
+    """
+    after = F.lead("text").over(Window.partitionBy("file", "page", "row").orderBy("x0", "ord"))
+    word = rows.withColumn("_f", fold(F.col("text"))).withColumn("_next", fold(after))
+    labels = word.where(F.col("_f").isin(INFO_LABELS) | ((F.col("_f") == "data") & F.col("_next").startswith("naster")))
+    places = labels.groupBy("file", "page", "row").agg(F.min("x0").alias("x0"))
+    best = largest_cluster_edge(places, ["file", "page"], "x0").where("n >= 3").select("file", "page", (F.col("edge") - 4).alias("_edge"))
+    e = lambda i: F.get("edges", F.lit(i))
+    moves = (F.size("edges") >= 3) & (F.col("_edge") > e(0) + 36) & (F.col("_edge") < e(2) - 24) & (F.abs(F.col("_edge") - e(1)) > 10)
+    moved = F.concat(F.array(e(0), F.col("_edge")), F.slice("edges", 3, F.greatest(F.size("edges"), F.lit(1))))
+    return edges.join(best, ["file", "page"], "left").withColumn("edges", F.when(moves, moved).otherwise(F.col("edges"))).drop("_edge")
+
+
+def body_sample(lines: DataFrame, most: int = 160, pages: int = 12) -> DataFrame:
+    """Rows under each header that are not junk, up to the next page with a header: at most so many, from so many pages (L-08).
+
+    lines has file, page, row, text, header (whether the row is a page's
+    header). Adds header_page. A limit is the operator's own: it takes a sample.
+    """
+    first = Window.partitionBy("file", "page")
+    by_file = Window.partitionBy("file").orderBy("page", "row")
+    at = F.min(F.when(F.col("header"), F.col("row"))).over(first)
+    opened = lines.withColumn("_at", at).withColumn("header_page", F.last(F.when(F.col("_at").isNotNull(), F.col("page")), ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, 0)))
+    under = opened.where((F.col("page") < F.col("header_page") + pages) & (F.col("_at").isNull() | (F.col("row") > F.col("_at"))))
+    body = under.where((F.trim(F.coalesce("text", F.lit(""))) != "") & ~is_junk_line(F.col("text")))
+    place = F.row_number().over(Window.partitionBy("file", "header_page").orderBy("page", "row"))
+    return body.withColumn("_place", place).where(F.col("_place") <= most).drop("_place", "_at")
+
+
+def footnote_rows(rows: DataFrame, pages: DataFrame, slack: float = 12, share: float = 0.62) -> DataFrame:
+    """Rows of six or more words over most of a page's width that fewer than two edges meet (L-11).
+
+    rows has file, page, row, x0, x1; pages has file, page, width, edges. Pages without edges have none.
+    """
+    held = rows.groupBy("file", "page", "row").agg(F.count("*").alias("n"), F.max_by("x1", "x0").alias("right"), F.min("x0").alias("left"), F.collect_list("x0").alias("starts"))
+    hits = F.size(F.filter("edges", lambda e: F.exists("starts", lambda x: F.abs(x - e) <= slack)))
+    wide = (F.col("n") >= 6) & (F.col("right") - F.col("left") >= F.col("width") * share)
+    return held.join(pages, ["file", "page"]).where(wide & (F.size("edges") > 0) & (hits < 2)).select("file", "page", "row")
