@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions import dates, extract, text
+from .functions import dates, decisions, text
+from .functions import rows as row_rules
 from .functions.similarity import jaro_winkler_udf, name_score_udf
-from .operators import fuzzy, layout, registry, search
+from .operators import fuzzy, gate, layout, registry, search
 from .sources import publish
 
 QUERIES: dict = {}
@@ -365,3 +366,47 @@ def json_map_props(spark, d):
 @query("""select c_custkey, concat_ws(',', cast(c_custkey as varchar), c_name, cast(c_nationkey as varchar), '"' || c_mktsegment || '; x,y"') as line from customer""")
 def csv_line(spark, d):
     return table(spark, d, "customer").select("c_custkey", publish.csv_line([F.col("c_custkey"), F.col("c_name"), F.col("c_nationkey"), F.concat(F.col("c_mktsegment"), F.lit("; x,y"))]).alias("line"))
+
+
+_EU = "Punerea în aplicare a măsurilor restrictive internaționale ale Uniunii Europene"
+
+
+@query(f"""select doc_id, case when f <> '' then substr(f, 1, 180) else 'ale uniunii europene' end as theme from (select doc_id, {FOLD.format('text')} as f from documents)""")
+def decision_theme(spark, d):
+    # A prefix is cut if something follows it; one that is the whole title falls to the shorter prefix, which leaves its end.
+    title = F.concat(F.lit(_EU + " "), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", decisions.theme(title).alias("theme"))
+
+
+@query("""select o_orderkey, case when title = 'Modificarea' or (n in (18, 25, 28, 29, 30, 33, 39, 44, 47, 48, 52) and title <> 'Punerea') then 'amendment'
+when title = 'Aliniere' or n in (23, 31, 35, 37) then 'alignment' else 'implementation' end as kind
+from (select o_orderkey, o_orderkey % 60 as n, case o_orderstatus when 'O' then 'Punerea' when 'F' then 'Altele' else case when o_orderkey % 2 = 0 then 'Modificarea' else 'Aliniere' end end as title from orders)""")
+def decision_kind(spark, d):
+    title = F.when(F.col("o_orderstatus") == "O", "Punerea").when(F.col("o_orderstatus") == "F", "Altele").when(F.col("o_orderkey") % 2 == 0, "Modificarea").otherwise("Aliniere")
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 60).cast("int").alias("n"), title.alias("title"))
+    return rows.select("o_orderkey", decisions.kind(F.lit("decision.pdf"), F.col("n"), F.col("title")).alias("kind"))
+
+
+@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
+select doc_id, count(*) as lines, count(*) filter (regexp_full_match({FOLD.format('line')}, 'anexa|lista|crt|[0-9]{{1,4}}')) as junk from l group by doc_id""")
+def junk_lines(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(row_rules.is_junk_line(F.col("line"))).alias("junk"))
+
+
+@query("""with w as (select l_suppkey as file, l_linenumber as row, cast(l_partkey % 600 as double) as x0 from lineitem),
+r as (select file, row, count(*) as n, max(x0) + 20 - min(x0) as span, max(cast(abs(x0 - 30) <= 12 as int)) + max(cast(abs(x0 - 170) <= 12 as int)) as hits from w group by file, row)
+select file, row from r where n >= 6 and span >= 600 * 0.62 and hits < 2""")
+def footnote_rows(spark, d):
+    w = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.lit(1).alias("page"), F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 600).cast("double").alias("x0"))
+    pages = w.select("file", "page").distinct().withColumns({"width": F.lit(600.0), "edges": F.array(F.lit(30.0), F.lit(170.0))})
+    return layout.footnote_rows(w.withColumn("x1", F.col("x0") + 20), pages).select("file", "row")
+
+
+@query("""select cast(l.doc_id as varchar) as idnp, case when d.doc_id is null then 'missing' else 'reason' end as problem from labels l left join documents d on l.doc_id = d.doc_id
+where l.quality = 1 and (d.doc_id is null or length(coalesce(d.text, '')) < 400)""")
+def unmet_expectations(spark, d):
+    none = F.array().cast("array<struct<kind:string,series:string,number:string,raw:string>>")
+    records = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("idnp"), F.col("source").alias("decisionId"), F.col("text").alias("reason"), none.alias("documents"))
+    wanted = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("idnp"), F.lit(None).cast("string").alias("decisionId"), F.lit(400).alias("reason_length"), F.lit(None).cast("string").alias("document"))
+    return gate.problems(records, wanted)
