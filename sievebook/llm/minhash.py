@@ -112,21 +112,27 @@ def parity(items: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 _SETS = pa.schema([("node", pa.int64()), ("items", pa.binary())])
 
 
-def _sets(k: int, as_list: bool = False):
+def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 items, at = shingle_sets(data, offsets, k)
-                if as_list:
-                    parts = parity(items, at)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(items.view(np.int64))), *map(pa.array, parts)], names=["node", "items", *PARITY])
-                    continue
                 raw = items.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])], pa.binary())], schema=_SETS)
 
     return run
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets as lists, with their parity bits."""
+    for batch in batches:
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        at = np.zeros(len(parts) + 1, np.int64)
+        at[1:] = np.cumsum([len(x) for x in parts])
+        items = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(items.view(np.int64))), *map(pa.array, parity(items, at))], names=["node", "items", *PARITY])
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -169,9 +175,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     least = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
     buckets = cut(banded.join(least, "key").select("key", "node", "n", "pivot", "size"))
 
+    # The one step that moves whole texts: the sets of all that share a bucket, for every comparison that follows.
+    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
+    sets = cut(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "node long, items binary"))
+
     close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = buckets.select("node", "n", F.col("pivot.node").alias("other"), F.col("pivot.n").alias("m")).where(f"node <> other and {close}").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(confirmed(docs, pairs, k, percent))
+    links = cut(confirmed(sets, pairs, percent))
     labels = cut(components(links))
 
     # What is left: pairs of a bucket whose ends are not yet connected. All members of such buckets are joined anew by
@@ -179,7 +189,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     known = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key")
     unsettled = known.join(mixed, "key").groupBy("node", "n").agg(F.first("label").alias("label"))
-    more = cut(confirmed(docs, prefix_pairs(docs, unsettled, k, percent), k, percent))
+    more = cut(confirmed(sets, prefix_pairs(sets, unsettled, percent), percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
@@ -191,7 +201,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     )
 
 
-def prefix_pairs(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) pairs of nodes with different labels that share one of their rarest shingles.
 
     Sets as alike as asked share one of the first n - ceil(n * percent / 100) + 1
@@ -199,8 +209,8 @@ def prefix_pairs(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Dat
     nodes that hold the shingle.
     """
     nodes = cut(nodes)
-    sets = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k, as_list=True), "node long, items array<long>, " + ", ".join(f"{x} long" for x in PARITY))
-    sets = cut(sets.join(nodes, "node"))
+    lists = sets.join(nodes, "node", "left_semi").mapInArrow(_lists, "node long, items array<long>, " + ", ".join(f"{x} long" for x in PARITY))
+    sets = cut(lists.join(nodes, "node"))
     held = sets.select("node", F.explode("items").alias("item"))
     often = held.groupBy("item").agg(F.count("*").alias("often"))
     ranked = held.join(often, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("items"))
@@ -214,10 +224,7 @@ def prefix_pairs(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Dat
     return first.join(other, (first["item"] == other["item"]) & F.expr(f"node < other and label <> other_label and 100 * least(n, m) >= {percent} * greatest(n, m) and {alike}")).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full sets are alike enough."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "node long, items binary"))
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose full sets, rows of (node, items), are alike enough."""
     full = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
