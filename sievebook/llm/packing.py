@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from .common import bounded, cut
 
@@ -35,19 +36,29 @@ SWEEPS = 30
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a tokenizer file in JSON. Its ids number the merges in order, so they serve as ranks."""
+    """The byte-level BPE of a tokenizer file in JSON, with its added tokens. The other ids number the merges in order, so they serve as ranks."""
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        given = json.load(f)
+    added = {t["content"]: t["id"] for t in given["added_tokens"]}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
     letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    ranks = {bytes(letter[c] for c in token): i for token, i in vocabulary.items() if all(c in letter for c in token) and token != "<|endoftext|>"}
-    return tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(letter[c] for c in token): i for token, i in given["model"]["vocab"].items() if all(c in letter for c in token) and token not in added}
+    return tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
-def token_ids(encoding: tiktoken.Encoding, text: str | None) -> np.ndarray:
-    """Little-endian unsigned 32-bit ids of the text, then id 0."""
-    ids = encoding.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+@lru_cache(maxsize=2)
+def reader(path: str) -> Tokenizer:
+    """The tokenizer file in the library that defines the ids."""
+    return Tokenizer.from_file(path)
+
+
+def token_ids(path: str, pattern: str, text: str | None) -> np.ndarray:
+    """Little-endian unsigned 32-bit ids of the text, then id 0. An added token in the text is its one id."""
+    try:
+        ids = tokenizer(path, pattern).encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
+    except ValueError:  # tiktoken's regex gives up on runs of about a million white-space characters
+        ids = np.array(reader(path).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.append(ids.astype("<u4"), np.zeros(1, "<u4"))
 
 
@@ -116,12 +127,12 @@ _PARTS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("part", pa.in
 
 def _measure(path: str, pattern: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, part = tokenizer(path, pattern), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         ranks, whole_before = [0] * window, 0
         for batch in batches:
             rows = []
             for doc, mark, text in zip(*(batch.column(i) for i in range(3))):
-                ids = token_ids(encoding, text.as_py())
+                ids = token_ids(path, pattern, text.as_py())
                 n, raw = len(ids), memoryview(ids.tobytes())
                 whole, rest = divmod(n, window)
                 crc = [zlib.crc32(raw[4 * window * i : 4 * window * (i + 1)]) for i in range(whole)]
@@ -150,11 +161,10 @@ def _cuts(path: str, pattern: str, window: int, first: int, total: int):
             at, number = at + size, number + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tokenizer(path, pattern)
         for batch in batches:
             rows = []
             for doc, n, rest, token, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                raw, at = memoryview(token_ids(encoding, text).tobytes()), n - rest
+                raw, at = memoryview(token_ids(path, pattern, text).tobytes()), n - rest
                 while at < n:
                     number, begin, end = sequence_of(token)
                     size = min(n - at, end - token)

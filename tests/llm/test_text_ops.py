@@ -151,6 +151,18 @@ def test_packing_places_every_token_once(spark):
     assert packing.pack(docs(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_ids_are_those_of_the_reader(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    reader = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|> x  <|endoftext|>  y", "<|endoftext|", "a" + " " * 1_100_000 + "b", "word " * 3000 + "<|endoftext|>\n\n z"]
+    out = packing.pack(docs(spark, list(enumerate(texts))), path, public_tokenizers.PATTERN).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*reader.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        pieces = sorted((p for p in out if p.doc_id == i), key=lambda p: p.start)
+        assert [p.ids_crc32 for p in pieces] == [zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in pieces]
+        assert all(p.doc_tokens == len(ids) for p in pieces) and sum(p.length for p in pieces) == len(ids)
+
+
 def test_least_squares_reproduces_a_fillable_histogram():
     histogram = np.zeros(1024, np.int64)
     histogram[[300, 724]] = 50
