@@ -149,16 +149,28 @@ def siblings(rows: DataFrame) -> DataFrame:
     return rows.select("key", "id").join(other, "key").where("id <> sibling").select("id", "sibling")
 
 
-def neighbours(rows: DataFrame, n: int = 6) -> DataFrame:
-    """(id, neighbour, place): nearest list numbers of the same decision and type (O-11).
+def nearest_by_number(rows: DataFrame, keys: list[str], id: str, number: str, order: str, n: int = 6) -> DataFrame:
+    """(id, neighbour, place): the n rows of the same keys whose numbers are nearest; equal distances go by order, which is unique.
 
-    The n nearest lie among the n before and the n after in list order, so no
-    pairs of a whole decision are formed.
+    They lie among the first n + 1 rows by order of a row's own number and of
+    the n numbers before and after it, so no pairs of a whole group are formed.
+    Null keys are equal; rows without number have no part.
     """
-    number = F.col("listNumber").try_cast("int")
-    w = Window.partitionBy("decisionId", "type").orderBy("nr", "ord")
-    near = rows.where(number.isNotNull()).withColumn("nr", number)
-    steps = [f(F.struct("id", "nr", "ord"), k).over(w) for k in range(1, n + 1) for f in (F.lag, F.lead)]
-    pairs = near.withColumn("others", F.array_compact(F.array(*steps))).select("id", "nr", F.explode("others").alias("o"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.abs(F.col("o.nr") - F.col("nr")), "o.ord"))
-    return pairs.select("id", F.col("o.id").alias("neighbour"), rank.alias("place")).where(f"place <= {n}")
+    rows = rows.where(F.col(number).isNotNull()).select(F.struct(*keys).alias("_k"), F.col(number).alias("_nr"), F.col(order).alias("_ord"), F.col(id).alias("_id"))
+    place = F.row_number().over(Window.partitionBy("_k", "_nr").orderBy("_ord"))
+    # The first n + 1 of each number, so that a number with most of the rows is not gathered.
+    first = rows.withColumn("_p", place).where(F.col("_p") <= n + 1)
+    numbers = first.groupBy("_k", "_nr").agg(F.array_sort(F.collect_list(F.struct("_ord", "_id"))).alias("_held"))
+    w = Window.partitionBy("_k").orderBy("_nr")
+    steps = [f("_nr", k).over(w) for k in range(1, n + 1) for f in (F.lag, F.lead)]
+    near = numbers.withColumn("_others", F.array_compact(F.array("_nr", *steps))).select("_k", "_nr", F.explode("_others").alias("_other"))
+    held = near.join(numbers.select("_k", F.col("_nr").alias("_other"), "_held"), ["_k", "_other"]).select("_k", "_nr", F.abs(F.col("_nr") - F.col("_other")).alias("_far"), F.explode("_held").alias("_o"))
+    # Of each number the n + 1 nearest, one of which may be the row itself.
+    nearest = held.groupBy("_k", "_nr").agg(F.slice(F.array_sort(F.collect_list(F.struct("_far", "_o"))), 1, n + 1).alias("_near"))
+    others = rows.join(nearest, ["_k", "_nr"]).select("_id", F.slice(F.filter("_near", lambda x: x["_o"]["_id"] != F.col("_id")), 1, n).alias("_near"))
+    return others.select(F.col("_id").alias("id"), F.posexplode("_near").alias("place", "o")).select("id", F.col("o._o._id").alias("neighbour"), (F.col("place") + 1).alias("place"))
+
+
+def neighbours(rows: DataFrame, n: int = 6) -> DataFrame:
+    """(id, neighbour, place): nearest list numbers of the same decision and type, of equal distances the smaller ord (O-11)."""
+    return nearest_by_number(rows.withColumn("nr", F.col("listNumber").try_cast("int").cast("long")), ["decisionId", "type"], "id", "nr", "ord", n)

@@ -231,16 +231,8 @@ def category_top_k(spark, d):
 @query("""select id, neighbour, place from (select a.p_partkey as id, b.p_partkey as neighbour, row_number() over (partition by a.p_partkey order by abs(a.p_size - b.p_size), b.p_partkey) as place
 from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey <> b.p_partkey) where place <= 6""")
 def nearest_neighbours(spark, d):
-    # Ties of equal distance go to the smaller key: all of one size count as one step of the list.
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    sizes = p.groupBy("p_brand", "p_type", "p_size").agg(F.slice(F.array_sort(F.collect_list("p_partkey")), 1, 7).alias("keys"))
-    w = Window.partitionBy("p_brand", "p_type").orderBy("p_size")
-    steps = [f("p_size", k).over(w) for k in range(1, 7) for f in (F.lag, F.lead)]
-    near = sizes.withColumn("others", F.array_compact(F.array("p_size", *steps))).select("p_brand", "p_type", "p_size", F.explode("others").alias("other"))
-    held = sizes.select("p_brand", "p_type", F.col("p_size").alias("other"), "keys")
-    pairs = p.join(near, ["p_brand", "p_type", "p_size"]).join(held, ["p_brand", "p_type", "other"]).select(F.col("p_partkey").alias("id"), F.abs(F.col("p_size") - F.col("other")).alias("far"), F.explode("keys").alias("neighbour")).where("id <> neighbour")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("far", "neighbour"))
-    return pairs.select("id", "neighbour", rank.alias("place")).where("place <= 6")
+    part = table(spark, d, "part").where("p_brand is not null and p_type is not null")
+    return registry.nearest_by_number(part, ["p_brand", "p_type"], "p_partkey", "p_size", "p_partkey")
 
 
 @query("""select dt, event_type, n, rnk from (select cast(ts as date) as dt, event_type, count(*) as n, dense_rank() over (order by cast(ts as date) desc) as rnk from events group by 1, 2) where rnk <= 12""")

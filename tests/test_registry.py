@@ -146,6 +146,21 @@ def test_search_and_batch(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_neighbours_under_ties(spark):
+    numbers = ["5"] * 8 + ["4"] * 9 + ["6"] * 3 + ["9", "1", "x", None, "-2147483648", "2147483647"]
+    rows = [(f"i{o}", d, "person", n, o) for d, shift in (("1", 0), ("2", 100)) for o, n in enumerate(numbers, shift + 1)] + [("e", "1", "entity", "5", 900)]
+    got = {}
+    for r in registry.neighbours(spark.createDataFrame(rows, "id string, decisionId string, type string, listNumber string, ord int")).collect():
+        got.setdefault(r.id, {})[r.place] = r.neighbour
+    want = {}
+    numbered = [r for r in rows if r[3] not in (None, "x")]
+    for i, d, t, n, _ in numbered:
+        near = sorted((abs(int(m) - int(n)), o, j) for j, e, u, m, o in numbered if (e, u) == (d, t) and j != i)[:6]
+        if near:
+            want[i] = {k: j for k, (*_, j) in enumerate(near, 1)}
+    assert got == want and list(map(got["i8"].get, range(1, 7))) == ["i1", "i2", "i3", "i4", "i5", "i6"]
+
+
 def test_extraction(spark):
     assert values(spark, extract.parse_idnp, ["IDNP: 1234567890123", "cod personal 2001234567890", "cod personal 1234567890123", None]) == ["1234567890123", "2001234567890", None, None]
     docs = one(spark, extract.parse_documents(F.lit("Pașaport seria AB nr. 123 4567, act XY 765432"), F.lit(None).cast("string")))
