@@ -67,7 +67,17 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("mark", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
+def set_hashes(items: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's set, as signed numbers; 0 of an empty one."""
+    a, b = np.zeros(len(at) - 1, np.uint64), np.zeros(len(at) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        begins = at[:-1][full]
+        a[full], b[full] = np.add.reduceat(mix(items), begins), np.add.reduceat(mix(items * _SCATTER + _U(1)), begins)
+    return a.view(np.int64), b.view(np.int64)
 
 
 def _profiles(k: int, bands: int, rows: int):
@@ -78,15 +88,14 @@ def _profiles(k: int, bands: int, rows: int):
                 sizes = np.diff(at)
                 full = np.flatnonzero(sizes)
                 begins = at[:-1][full]
-                a, b = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
+                a, b = set_hashes(items, at)
                 lists = pa.nulls(hi - lo, pa.list_(pa.int64()))
                 if len(full):
-                    a[full], b[full] = np.add.reduceat(mix(items), begins), np.add.reduceat(mix(items * _SCATTER + _U(1)), begins)
                     keys = band_keys(signatures(items, begins, bands * rows), rows)
                     where = np.zeros(hi - lo + 1, np.int32)
                     where[1:] = np.cumsum(sizes > 0) * bands
                     lists = pa.ListArray.from_arrays(pa.array(where), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], schema=_PROFILE)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b), batch.column(2).slice(lo, hi - lo), lists], schema=_PROFILE)
 
     return run
 
@@ -109,7 +118,7 @@ def parity(items: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [x.view(np.int64) for x in out]
 
 
-_SETS = pa.schema([("node", pa.int64()), ("items", pa.binary())])
+_SETS = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("items", pa.binary())])
 
 
 def _sets(k: int):
@@ -118,7 +127,8 @@ def _sets(k: int):
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 items, at = shingle_sets(data, offsets, k)
                 raw = items.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])], pa.binary())], schema=_SETS)
+                own = pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at).astype(np.int64)), *map(pa.array, set_hashes(items, at)), own], schema=_SETS)
 
     return run
 
@@ -160,24 +170,45 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     component_id is the smallest id reachable, kept tells whether it is the
     document's own. Null and wordless texts have an empty set and are linked
     with nothing. A row without id takes no part: its component is null and it
-    is kept. Rows that repeat an id are one document: if their texts differ,
-    one of them stands for the id in comparisons. Other columns are not read.
+    is kept. Rows that repeat an id count each by its own text. Other columns
+    are not read.
     """
+    return judged(documents, k, percent, bands, rows, id_column, text_column).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """near_duplicates with the text's hash (mark) and its component as such (label; null without id or words): components of unlike texts of one id differ in it."""
     bounded(documents.sparkSession)
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    profiles = cut(docs.mapInArrow(_profiles(k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    profiles = cut(marked.mapInArrow(_profiles(k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, mark long, bands array<long>"))
     member = ["set_a", "set_b", "n_shingles"]
     usable = profiles.where("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy(*member).agg(F.min("doc_id").alias("node"))
+    of_id = profiles.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*member)).alias("lo"), F.max(F.struct(*member)).alias("hi"))
+    unlike = cut(of_id.where("lo <> hi").select("doc_id"))
+    repeated = not unlike.isEmpty()
+    # A node is a class of equal sets: its first id, or the hash of its set where rows of that id have unlike sets. First
+    # ids come first in buckets too, which leaves less to the prefix filter than an order by hashes.
+    classes = usable.groupBy(*member).agg(F.min("doc_id").alias("first")).withColumn("node", F.col("first"))
+    if repeated:
+        classes = classes.join(unlike.select(F.col("doc_id").alias("first"), F.lit(True).alias("several")), "first", "left").withColumn("node", F.when(F.col("several"), F.xxhash64(*member)).otherwise(F.col("first"))).drop("several")
     # A class's bands: those of its first document, found again by a join on the id, so that arrays are not aggregated.
-    nodes = usable.join(classes.select("node", *member), member).where("doc_id = node").select("node", "n_shingles", "bands").dropDuplicates(["node"])
+    nodes = usable.join(classes.select("node", "first", *member), member).where("doc_id = first").select("node", "n_shingles", "bands").dropDuplicates(["node"])
     banded = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     least = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
     buckets = cut(banded.join(least, "key").select("key", "node", "n", "pivot", "size"))
 
     # The one step that moves whole texts: the sets of all that share a bucket, for every comparison that follows.
-    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-    sets = cut(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "node long, items binary"))
+    wanted = cut(buckets.select("node").distinct().join(classes.select("node", F.col("first").alias("doc_id")), "node"))
+    schema = "node long, n_shingles long, set_a long, set_b long, items binary"
+    clear = wanted.join(unlike, "doc_id", "left_anti") if repeated else wanted
+    sets = docs.join(clear, "doc_id").dropDuplicates(["doc_id"]).select("node", "text").mapInArrow(_sets(k), schema).select("node", "items")
+    if repeated:  # of an id with unlike texts, the row whose set is the class's
+        unclear = wanted.join(unlike, "doc_id", "left_semi")
+        several = docs.join(unclear, "doc_id", "left_semi").mapInArrow(_sets(k), schema)
+        several = several.withColumn("node", F.xxhash64(*member)).join(unclear.select("node"), "node", "left_semi")
+        sets = sets.unionByName(several.select("node", "items").dropDuplicates(["node"]))
+    sets = cut(sets)
 
     close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = buckets.select("node", "n", F.col("pivot.node").alias("other"), F.col("pivot.n").alias("m")).where(f"node <> other and {close}").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
@@ -193,11 +224,14 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    of_class = classes.join(labels, "node", "left").select(*member, F.coalesce("component", "node").alias("component"))
+    of_class = classes.join(labels, "node", "left").select(*member, "first", F.coalesce("component", "node").alias("label"))
+    lowest = labels.join(classes, "node").groupBy(F.col("component").alias("label")).agg(F.min("first").alias("lowest"))
+    of_class = of_class.join(lowest, "label", "left").select(*member, "label", F.coalesce("lowest", "first").alias("component"))
     return (
-        profiles.join(of_class, member, "left")
+        profiles.withColumn("own", F.col("doc_id").isNotNull())
+        .join(of_class.withColumn("own", F.lit(True)), [*member, "own"], "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "mark", "label")
     )
 
 

@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 
-from .util import SF
+from .util import SF, docs as table
 
 
 def words(t):
@@ -63,3 +63,11 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in docs.collect():
         sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.length
     assert sizes == {i: len(own.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in given["packing"].items()}
+
+
+def test_near_dedup_drops_only_duplicate_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(5, b), (5, a), (5, a), (5, a + " z"), (6, a), (6, c), (7, b), (8, ""), (8, c + " z"), (8, None), (None, a)]
+    out = corpus_pipeline.near_dedup(spark, table(spark, rows), SF)
+    got = sorted(((r.doc_id or 0, (r.text or "")[:2]) for r in out.collect()))
+    assert got == [(0, "a0"), (5, "a0"), (5, "b0"), (6, "c0"), (8, ""), (8, "")]

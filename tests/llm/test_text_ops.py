@@ -118,6 +118,14 @@ def test_near_duplicates_null_ids_and_empty(spark):
     assert minhash.near_duplicates(docs(spark, []), 4).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids_go_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(5, b), (5, a), (5, None), (6, a), (7, b[:-3] + "x"), (8, c), (8, a), (3, c + " z"), (9, "")]
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, rows), 4).collect()) == Counter(
+        [(5, 5, True)] * 3 + [(6, 5, False), (7, 5, False), (8, 3, False), (8, 5, False), (3, 3, True), (9, 9, True)]
+    )
+
+
 def test_packing_places_every_token_once(spark):
     rows = [(r.doc_id, r.text) for r in table(spark).collect()] + [(9000 + i, t) for i, t in edge_texts()] + [(None, "no id")]
     path = public_tokenizers.path("byte_bpe_50k.json")
