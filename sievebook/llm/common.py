@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch between the JVM and Python. Texts are long, so Spark's 10,000 would hold tens of MB at both ends.
-BATCH = 500
+#: Rows and bytes of an Arrow batch between the JVM and Python. Texts are long, so Spark's defaults would hold tens of MB at both ends.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: A key is heavy if more than this part of all rows has it, so there are fewer heavy keys than its inverse.
+HEAVY = 1 / 256
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """The session with small Arrow batches, unless its user chose a size."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(BATCH))
+    """The session with small Arrow batches; a size that its user set stays."""
+    given = spark.conf.getAll
+    for name, value in BATCH.items():
+        if name not in given:
+            spark.conf.set(name, value)
     return spark
 
 
@@ -25,21 +28,46 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the session names none (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir. Only a session on one machine (tests) may lack it; it gets a temporary folder."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievebook-"))
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared checkpoint folder: lineage ends here, and a lost executor loses nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """rows joined with a table of unique keys, whose column ``weight`` says how many rows have each key.
+
+    Keys that more than HEAVY of all rows have are fewer than 1 / HEAVY: they
+    are broadcast, so that no task gets all rows of one of them. The other
+    keys meet by a shuffle. Rows whose key is null are for the caller to keep
+    apart. ``table`` is read several times: cut it first.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.where(F.col(weight) > max(1.0, total * HEAVY))
+    rest = table.where(F.col(weight) <= max(1.0, total * HEAVY)).drop(weight)
+    if hot.isEmpty():
+        return rows.join(rest, keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return rows.join(F.broadcast(hot.drop(weight)), keys).unionByName(cold)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of (a, b) links: (node, component), component being the smallest node reached.
 

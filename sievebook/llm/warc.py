@@ -2,9 +2,10 @@
 
 An archive is a table of (record_no, chunk_no, last, data, sha1) rows: the
 data of a record's chunks, one after the other, are the bytes of its WARC
-record, and sha1 is the digest of the payload up to the end of the chunk. A
-writer or reader holds one chunk at a time, whatever the size of the record.
-``stream`` gives the bytes of a WARC file.
+record, and sha1 is the digest of the payload up to the end of the chunk.
+Writer and reader get an Arrow batch of chunks at a time and go on chunk by
+chunk, whatever the size of the record; only Spark's own row of the input
+holds a payload whole. ``stream`` gives the bytes of a WARC file.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, shared_dir
+from .common import bounded, cut, lookup, remove, shared_dir
 
 CHUNK = 1 << 18
+#: Bytes of a row group that a task's Parquet writer holds.
+BLOCK = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 _TABLE = "record_no long, chunk_no int, last boolean, data binary, sha1 binary"
@@ -43,44 +46,33 @@ def header(page_id: int | None, record_no: int, url: str | None, size: int, dige
     return "\r\n".join(lines).encode() + _END + http
 
 
-def slices(text: str, size: int) -> Iterator[bytes]:
-    """The UTF-8 bytes of a text in chunks of at most ``size`` bytes, encoded a part at a time."""
-    step = max(1, size // 4)
-    for i in range(0, len(text), step):
-        yield text[i : i + step].encode()
-
-
-def record(page_id: int | None, record_no: int, url: str | None, html: str | None, refers_to: int | None, chunk: int) -> Iterator[tuple]:
-    """The chunk rows of one record."""
-    digest, size = hashlib.sha1(), 0
-    for part in slices(html or "", chunk):
-        digest.update(part)
-        size += len(part)
-    revisit = refers_to is not None
-    running, n = hashlib.sha1(), 0
-    waiting = header(page_id, record_no, url, size, base32(digest.digest()), refers_to, revisit)
-    for part in [] if revisit else slices(html or "", chunk):
-        yield record_no, n, False, waiting, running.digest()
-        running.update(part)
-        waiting, n = part, n + 1
-    yield record_no, n, True, waiting + _END, running.digest()
-
-
-def _write(chunk: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for batch in batches:
-            for page, no, url, html, refers in zip(*(batch.column(i) for i in range(5))):
-                for row in record(page.as_py(), no.as_py(), url.as_py(), html.as_py(), refers.as_py(), chunk):
-                    rows.append(row)
-                    size += len(row[3])
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
-                        rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
-
-    return run
+class Writer:
+    """One record, fed chunk by chunk: gives each chunk's bytes and the digest of the payload up to its end."""
+
+    def __init__(self) -> None:
+        self.running = hashlib.sha1()
+
+    def feed(self, head: bytes, part: bytes, last: bool) -> tuple[bytes, bytes]:
+        self.running.update(part)
+        return head + part + (_END if last else b""), self.running.digest()
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payload chunks in order of record and chunk, to rows of the archive."""
+    writer = Writer()
+    for batch in batches:
+        numbers, chunk_no, last = (batch.column(i) for i in range(3))
+        data, sha1 = [], []
+        for n, end, part, page, no, url, size, digest, refers in zip(chunk_no.to_pylist(), last.to_pylist(), *(batch.column(i) for i in (3, 4, 0, 5, 6, 7, 8))):
+            head = b""
+            if n == 0:
+                writer = Writer()
+                refers_to = refers.as_py()
+                head = header(page.as_py(), no.as_py(), url.as_py(), size.as_py(), base32(bytes.fromhex(digest.as_py())), refers_to, refers_to is not None)
+            row, running = writer.feed(head, part.as_py(), end)
+            data.append(row)
+            sha1.append(running)
+        yield pa.RecordBatch.from_arrays([numbers, chunk_no, last, pa.array(data, pa.binary()), pa.array(sha1, pa.binary())], schema=_SCHEMA)
 
 
 class Reader:
@@ -122,16 +114,23 @@ _READ = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader, types = Reader(), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    """Chunks in order of record and chunk, to one row for each record."""
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    reader, record, n = Reader(), None, 0
     for batch in batches:
         out = []
-        for last, data, running in zip(*(batch.column(i) for i in range(3))):
+        for no, chunk_no, last, data, running in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4)):
+            if chunk_no != n or (n and no != record):
+                raise ValueError(f"record {no if record is None or not n else record} lacks a chunk")
             reader.feed(data.as_py(), running.as_py())
-            if last.as_py():
+            record, n = no, n + 1
+            if last:
                 out.append(reader.result())
-                reader = Reader()
+                reader, n = Reader(), 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=[x.split()[0] for x in _READ.split(", ")])
+    if n:
+        raise ValueError(f"record {record} lacks its last chunk")
 
 
 def write_archive(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUNK) -> None:
@@ -139,23 +138,42 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUN
 
     Rows with that page_id all respond. A page without id is referred to by
     none; it revisits if a page with id has its payload. Null html is the
-    empty payload, a null url is written as urn:none.
+    empty payload, a null url is written as urn:none. Payloads are shuffled
+    once, to meet the table of revisits, and cut into chunks before they reach
+    Python; a revisit's payload is dropped there.
     """
     bounded(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    payload = F.coalesce("html", F.lit(""))
-    slim = rows.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
-    first = slim.where(F.col("page_id").isNotNull() & (F.col("size") >= least)).groupBy("digest", "size").agg(F.min("page_id").alias("first"))
-    again = cut(slim.distinct().join(first, ["digest", "size"]).where("page_id is null or page_id <> first").select(F.col("page_id").alias("id"), "digest", "first"))
-    keyed = rows.withColumn("digest", F.sha1(payload))
-    joined = keyed.join(again.withColumnRenamed("digest", "d"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
-    joined.select("page_id", F.monotonically_increasing_id().alias("no"), "url", "html", "first").mapInArrow(_write(chunk), _TABLE).write.parquet(path)
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    slim = rows.select("page_id", "digest", "size")
+    first = slim.where("page_id is not null").groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = cut(first.where(F.col("size") >= least))
+    again = lookup(slim.distinct(), first, ["digest", "size"], "n", how="inner").where("page_id is null or page_id <> first")
+    again = again.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "first")
+    joined = rows.join(again.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
+    body = F.when(F.col("first").isNull(), F.col("payload")).otherwise(F.lit(b""))
+    chunks = F.when(F.col("first").isNull(), F.greatest(F.ceil(F.col("size") / chunk), F.lit(1))).otherwise(F.lit(1)).cast("int")
+    numbered = joined.select("page_id", "url", "size", "digest", "first", body.alias("body"), chunks.alias("chunks"), F.monotonically_increasing_id().alias("no"))
+    cells = numbered.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("at"))
+    part = F.substring("body", F.col("at") * chunk + 1, F.lit(chunk))
+    cells = cells.select(F.col("no").alias("record_no"), F.col("at").alias("chunk_no"), (F.col("at") == F.col("chunks") - 1).alias("last"), part.alias("data"), "page_id", "url", "size", "digest", "first")
+    cells.mapInArrow(_write, _TABLE).write.option("compression", "zstd").option("parquet.block.size", BLOCK).parquet(path)
 
 
 def read_archive(archive: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; each chunk is checked against its digest."""
-    n = int(archive.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return archive.repartition(n, "record_no").sortWithinPartitions("record_no", "chunk_no").select("last", "data", "sha1").mapInArrow(_read, _READ)
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; each chunk is checked against its digest.
+
+    Records of one chunk are read where they lie; only the chunks of longer
+    ones are brought together, and then pass one by one. A record that lacks a
+    chunk, or has a changed one, raises ValueError.
+    """
+    bounded(archive.sparkSession)
+    columns = ["record_no", "chunk_no", "last", "data", "sha1"]
+    lone = F.col("last") & (F.col("chunk_no") == 0)
+    single = archive.where(lone).select(*columns).mapInArrow(_read, _READ)
+    several = archive.where(~lone).repartition("record_no").sortWithinPartitions("record_no", "chunk_no").select(*columns).mapInArrow(_read, _READ)
+    return single.unionByName(several)
 
 
 def stream(rows: Iterable) -> Iterator[bytes]:
@@ -165,8 +183,10 @@ def stream(rows: Iterable) -> Iterator[bytes]:
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write the pages to an archive in the shared folder and read it back."""
+    """Write the pages to an archive in the shared folder, read it back, and remove it."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4()}"
     write_archive(pages, path, least)
-    return read_archive(spark.read.parquet(path))
+    found = cut(read_archive(spark.read.parquet(path)))
+    remove(spark, path)
+    return found
