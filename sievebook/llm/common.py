@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -68,27 +68,61 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how:
     return rows.join(F.broadcast(hot.drop(weight)), keys).unionByName(cold)
 
 
+def heavy_keys(rows: DataFrame, key: str) -> list:
+    """The values of ``key`` that more than HEAVY of the rows have: fewer than 1 / HEAVY."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r[key] for r in counts.where(F.col("n") > max(1.0, total * HEAVY)).select(key).collect()]
+
+
+#: Tasks over which the rows of a heavy key are dealt.
+SPLIT = 32
+
+
+def salted(key: Column, by: Column, heavy: list) -> Column:
+    """The share of its key's rows that a row goes to; 0 where the key is not heavy."""
+    return F.when(key.isin(heavy), F.pmod(F.xxhash64(by), F.lit(SPLIT))).otherwise(0).cast("int") if heavy else F.lit(0)
+
+
+def all_salts(key: Column, heavy: list) -> Column:
+    """Every share of a key: to be exploded on the side that has few rows of it."""
+    return F.when(key.isin(heavy), F.sequence(F.lit(0), F.lit(SPLIT - 1))).otherwise(F.array(F.lit(0))) if heavy else F.array(F.lit(0))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of (a, b) links: (node, component), component being the smallest node reached.
 
-    Alternates large-star and small-star steps, so the number of rounds grows
-    with the logarithm of the component size. A hub is never gathered: its
-    neighbourhood is reduced to a minimum by a partial aggregate, and joins on
-    it can be split by adaptive execution.
+    Every node hangs on its smallest smaller neighbour. Those that are no
+    node's smaller neighbour are leaves and are set aside, so that the members
+    of a star never meet at its hub; what is left, a graph of the other nodes,
+    is solved by ``_spanned``.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    parents = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")))
+    inner = cut(edges.select("v").distinct())
+    tree = parents.join(inner, F.col("u") == F.col("v"), "left_semi").select("u", F.col("m").alias("v"))
+    cross = edges.join(parents.where("m <> most"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    solved = _spanned(tree.unionByName(cross).distinct())
+    hung = cut(inner.join(solved, F.col("v") == F.col("node"), "left").select(F.col("v").alias("node"), F.coalesce("component", "v").alias("component")))
+    leaves = parents.join(inner, F.col("u") == F.col("v"), "left_anti").select("u", F.col("m").alias("node"))
+    sizes = cut(leaves.groupBy("node").agg(F.count("*").alias("n")).join(hung, "node"))
+    return hung.unionByName(lookup(leaves, sizes, ["node"], "n", how="inner").select(F.col("u").alias("node"), "component"))
+
+
+def _spanned(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of (u, v) edges, u above v: large-star and small-star steps by turns, whose number grows with the logarithm of the component size."""
+    edges = cut(edges)
     before = None
     while True:
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            break
+        before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        large = lookup(both, low, ["u"], "n", how="inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.where("u <> v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     nodes = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return nodes.unionByName(roots)
+    return nodes.unionByName(edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component")))

@@ -8,13 +8,17 @@ of the confirmed links give the groups.
 
 Bounded work on hot groups: equal shingle sets collapse to one class before
 anything is compared, every bucket is first compared with its smallest member
-only (a linear number of pairs). Members of a bucket that are still in
-different components are then joined by their rarest shingles (prefix filter),
-an exact way that forms no pairs from what all members share.
+only (a linear number of pairs), whose set is brought to a few tasks once each
+and not to every member. Members of a bucket that are still in different
+components are then joined by their rarest shingles (prefix filter). A shingle
+counts only at places from which two sets of their sizes can still reach the
+likeness, so a template that many texts share but that makes none of them
+alike forms no pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import LOWER_DIGITS, SPACED, chunks, distinct_by_row, mix, row_of, shingles, span_hashes, word_spans
-from .common import bounded, components, cut
+from .common import all_salts, bounded, components, cut, heavy_keys, lookup, salted
 
 BANDS, ROWS = 25, 5
 _U = np.uint64
@@ -171,7 +175,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     document's own. Null and wordless texts have an empty set and are linked
     with nothing. A row without id takes no part: its component is null and it
     is kept. Rows that repeat an id count each by its own text. Other columns
-    are not read.
+    are not read. With the default bands a pair of likeness 0.8 that no other
+    link connects is missed with a probability of 5e-5, one above it less
+    often: the sets of a pair are compared only if they share a bucket.
     """
     return judged(documents, k, percent, bands, rows, id_column, text_column).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -183,20 +189,23 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     profiles = cut(marked.mapInArrow(_profiles(k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, mark long, bands array<long>"))
     member = ["set_a", "set_b", "n_shingles"]
-    usable = profiles.where("doc_id is not null and n_shingles > 0")
+    takes_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    usable = profiles.where(takes_part)
     of_id = profiles.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*member)).alias("lo"), F.max(F.struct(*member)).alias("hi"))
     unlike = cut(of_id.where("lo <> hi").select("doc_id"))
     repeated = not unlike.isEmpty()
     # A node is a class of equal sets: its first id, or the hash of its set where rows of that id have unlike sets. First
     # ids come first in buckets too, which leaves less to the prefix filter than an order by hashes.
-    classes = usable.groupBy(*member).agg(F.min("doc_id").alias("first")).withColumn("node", F.col("first"))
+    classes = usable.groupBy(*member).agg(F.min("doc_id").alias("first"), F.count("*").alias("members")).withColumn("node", F.col("first"))
     if repeated:
         classes = classes.join(unlike.select(F.col("doc_id").alias("first"), F.lit(True).alias("several")), "first", "left").withColumn("node", F.when(F.col("several"), F.xxhash64(*member)).otherwise(F.col("first"))).drop("several")
-    # A class's bands: those of its first document, found again by a join on the id, so that arrays are not aggregated.
-    nodes = usable.join(classes.select("node", "first", *member), member).where("doc_id = first").select("node", "n_shingles", "bands").dropDuplicates(["node"])
-    banded = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    least = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    buckets = cut(banded.join(least, "key").select("key", "node", "n", "pivot", "size"))
+    classes = cut(classes)
+    # A class's bands: those of its first document, found again by its id, so that arrays are not aggregated.
+    own = classes.select("node", F.col("first").alias("doc_id"), *member)
+    nodes = usable.join(own, ["doc_id", *member]).select("node", "n_shingles", "bands").dropDuplicates(["node"])
+    banded = cut(nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")))
+    least = cut(banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1").withColumn("weight", F.col("size")))
+    buckets = cut(lookup(banded, least, ["key"], "weight", how="inner").select("key", "node", "n", "pivot", "size"))
 
     # The one step that moves whole texts: the sets of all that share a bucket, for every comparison that follows.
     wanted = cut(buckets.select("node").distinct().join(classes.select("node", F.col("first").alias("doc_id")), "node"))
@@ -218,47 +227,100 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     # What is left: pairs of a bucket whose ends are not yet connected. All members of such buckets are joined anew by
     # their rarest shingles, which is exact (prefix filter) and passes over what many of them share.
     known = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key")
-    unsettled = known.join(mixed, "key").groupBy("node", "n").agg(F.first("label").alias("label"))
-    more = cut(confirmed(sets, prefix_pairs(sets, unsettled, percent), percent))
+    mixed = cut(known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key", "size"))
+    unsettled = lookup(known, mixed, ["key"], "size", how="inner").groupBy("node", "n").agg(F.first("label").alias("label"))
+    more = prefix_links(sets, unsettled, percent)
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = cut(components(links.unionByName(more)))
 
-    of_class = classes.join(labels, "node", "left").select(*member, "first", F.coalesce("component", "node").alias("label"))
+    of_class = classes.join(labels, "node", "left").select(*member, "members", "first", F.coalesce("component", "node").alias("label"))
     lowest = labels.join(classes, "node").groupBy(F.col("component").alias("label")).agg(F.min("first").alias("lowest"))
-    of_class = of_class.join(lowest, "label", "left").select(*member, "label", F.coalesce("lowest", "first").alias("component"))
-    return (
-        profiles.withColumn("own", F.col("doc_id").isNotNull())
-        .join(of_class.withColumn("own", F.lit(True)), [*member, "own"], "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "mark", "label")
-    )
-
-
-def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs of nodes with different labels that share one of their rarest shingles.
-
-    Sets as alike as asked share one of the first n - ceil(n * percent / 100) + 1
-    items of each in any common order; here the order is by the number of
-    nodes that hold the shingle.
+    of_class = cut(of_class.join(lowest, "label", "left").select(*member, "members", "label", F.coalesce("lowest", "first").alias("component_id")))
+    columns = ["doc_id", "n_shingles", "component_id", "mark", "label"]
+    alone = profiles.where(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "mark", F.lit(None).cast("long").alias("label"))
+    judged_rows = lookup(usable, of_class, member, "members").select(*columns).unionByName(alone)
+    return judged_rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "mark", "label")
+
+
+def prefix_links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) confirmed links between nodes, rows of (node, n, label), that connect all of them that links of different labels can connect.
+
+    Two sets as alike as asked share an item; take the first in a common
+    order, here by the number of nodes that hold it. It stands where each set
+    still has as many items as the overlap asked for: within the first
+    n - ceil(n * percent / 100) + 1 of the larger set, and within the first
+    m - ceil(2 * m * percent / (100 + percent)) + 1 of the smaller. The larger
+    set looks only among the sizes that its place allows. First every item's
+    holders are compared with its smallest node alone; then the items whose
+    holders are not all connected give all their pairs.
     """
     nodes = cut(nodes)
     lists = sets.join(nodes, "node", "left_semi").mapInArrow(_lists, "node long, items array<long>, " + ", ".join(f"{x} long" for x in PARITY))
-    sets = cut(lists.join(nodes, "node"))
-    held = sets.select("node", F.explode("items").alias("item"))
-    often = held.groupBy("item").agg(F.count("*").alias("often"))
-    ranked = held.join(often, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("items"))
-    ranked = ranked.join(nodes, "node").select("node", "label", F.explode(F.expr(f"slice(items, 1, cast(n - ceil(n * {percent} / 100) as int) + 1)")).alias("one"))
-    first = cut(ranked.where("one.often > 1").select("node", "label", F.col("one.item").alias("item")))
-    several = first.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("item")
-    first = first.join(several, "item").join(sets.select("node", "n", *PARITY), "node")
-    other = first.select("item", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), *(F.col(x).alias(f"o{x}") for x in PARITY))
+    lists = cut(lists.join(nodes, "node"))
+    held = lists.select("node", F.explode("items").alias("item"))
+    often = held.groupBy("item").agg(F.count("*").alias("often")).where("often > 1")
+    # Items of one node stand first; they are counted, not listed.
+    shared = held.join(often, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("shared"))
+    last = F.expr(f"cast(n - ceil(n * {percent} / 100) as int)")
+    placed = shared.join(nodes, "node").withColumn("alone", (F.col("n") - F.size("shared")).cast("int"))
+    placed = placed.select("node", "n", "label", F.posexplode(F.slice("shared", 1, F.greatest(last - F.col("alone") + 1, F.lit(0)))).alias("at", "one"), "alone")
+    placed = cut(placed.select("node", "n", "label", (F.col("alone") + F.col("at")).cast("long").alias("place"), F.col("one.item").alias("item")))
+    bits = lists.select("node", *PARITY)
+
+    first = _prefix_pairs(placed, bits, percent, star=True)
+    links = cut(confirmed(sets, first, percent))
+    if not links.isEmpty():
+        labelled = cut(placed.select("node", "label").distinct())
+        by_label = links.join(labelled.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labelled.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        merged = cut(components(by_label.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "label"))
+        placed = cut(placed.join(F.broadcast(merged) if merged.count() <= 100_000 else merged, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"))
+    return links.unionByName(cut(confirmed(sets, _prefix_pairs(placed, bits, percent, star=False), percent)))
+
+
+#: Sets that look for each other are dealt by size, in classes of this ratio.
+RATIO = 0.9
+
+
+def _prefix_pairs(placed: DataFrame, bits: DataFrame, percent: int, star: bool) -> DataFrame:
+    """(a, b) pairs of nodes of different labels that share an item at places that allow the likeness; with ``star`` only those with the smallest node of an item and class of sizes."""
+    size_class = lambda x: F.floor(F.log(x.cast("double")) / math.log(1 / RATIO) + 1e-9).cast("int")
+    asked = lambda n, m: F.expr(f"ceil({percent} * ({n} + {m}) / {100 + percent})")
+    small = placed.where(F.expr(f"place <= n - ceil(2 * {percent} * n / {100 + percent})")).withColumn("class", size_class(F.col("n")))
+    # Sizes m of the smaller set: from percent of n up to n, and such that n - place still reaches the overlap.
+    most = F.least(F.col("n"), F.expr(f"floor((n - place) * {100 + percent} / {percent}) - n"))
+    fewest = F.expr(f"ceil({percent} * n / 100)")
+    large = placed.withColumns({"most": most, "fewest": F.greatest(fewest, F.lit(1))}).where("most >= fewest")
+    large = large.select("item", "node", "n", "label", "place", F.explode(F.sequence(size_class(F.col("fewest")), size_class(F.col("most")))).alias("class"))
+    # Only items and classes whose holders differ in label can add a link.
+    ends = small.groupBy("item", "class").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("pivot"))
+    reach = large.groupBy("item", "class").agg(F.min("label").alias("l"), F.max("label").alias("h"))
+    open_ = cut(ends.join(reach, ["item", "class"]).where("least(lo, l) < greatest(hi, h)").select("item", "class", "pivot"))
+    small = small.join(open_, ["item", "class"])
+    if star:
+        small = small.where("node = pivot")
+    small = small.select("item", "class", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), F.col("place").alias("other_place"))
+    large = cut(large.join(open_.select("item", "class"), ["item", "class"], "left_semi"))
+    heavy = heavy_keys(large, "item")
+    small = small.withColumn("salt", F.explode(all_salts(F.col("item"), heavy)))
+    joined = large.withColumn("salt", salted(F.col("item"), F.col("node"), heavy)).join(small, ["item", "class", "salt"])
+    fits = f"label <> other_label and node <> other and (m < n or (m = n and other < node)) and 100 * m >= {percent} * n"
+    joined = joined.where(F.expr(fits) & (F.least(F.expr("n - place"), F.expr("m - other_place")) >= asked("n", "m"))).select("node", "n", "other", "m").distinct()
+    # Sets differ in at least as many items as their parity bits differ.
+    theirs = bits.select(F.col("node").alias("other"), *(F.col(x).alias(f"o{x}") for x in PARITY))
+    joined = joined.join(bits, "node").join(theirs, "other")
     apart = " + ".join(f"bit_count({x} ^ o{x})" for x in PARITY)
     alike = f"{apart} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent})"
-    return first.join(other, (first["item"] == other["item"]) & F.expr(f"node < other and label <> other_label and 100 * least(n, m) >= {percent} * greatest(n, m) and {alike}")).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    return joined.where(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full sets, rows of (node, items), are alike enough."""
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+    """The (a, b) pairs whose full sets, rows of (node, items), are alike enough.
+
+    The set of b travels with its pair; that of a, which many pairs may share,
+    is brought to each of the tasks over which a's pairs are dealt.
+    """
+    pairs = cut(pairs)
+    heavy = heavy_keys(pairs, "a")
+    with_b = pairs.withColumn("salt", salted(F.col("a"), F.col("b"), heavy)).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    of_a = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("items").alias("x"), F.explode(all_salts(F.col("node"), heavy)).alias("salt"))
+    return with_b.join(of_a, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")

@@ -231,3 +231,74 @@ def test_license_scan_matches_brute_force(spark):
     assert Counter(tuple(r)[:6] for r in out) == want
     assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in out)
     assert "mit" in next(r for r in out if r.doc_id == 9104).labels
+
+
+def test_components_match_brute_force(spark):
+    from sievebook.llm.common import components
+
+    rng = random.Random(8)
+    shapes = [[(1, i) for i in range(2, 400)], [(i, i + 1) for i in range(1000, 1040)], [(2000 + i, 2500) for i in range(200)], [(rng.randint(3000, 3300), rng.randint(3000, 3300)) for _ in range(200)], [(3000, 1)]]
+    links = [e for s in shapes for e in s]
+    rng.shuffle(links)
+    up = {x: x for e in links for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    got = [tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()]
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert sorted(got) == sorted((x, find(x)) for x in linked)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_template_that_makes_no_text_alike_forms_no_pairs(spark):
+    """Texts that share about 85 % of their shingles with all others: likeness 0.74."""
+    template = [f"t{i}" for i in range(400)]
+    rows = [(i, " ".join(template + [f"own{i}x{j}" for j in range(70)])) for i in range(300)]
+    rows += [(1000 + i, " ".join(template + [f"few{i}x{j}" for j in range(20)])) for i in range(30)]  # alike among themselves
+    table = docs(spark, rows)
+    got = Counter(tuple(r) for r in minhash.near_duplicates(table, 4).collect())
+    assert got == brute_components(rows)
+    sets = table.select("doc_id", "text").mapInArrow(minhash._sets(4), "node long, n_shingles long, set_a long, set_b long, items binary")
+    from pyspark.sql import functions as F
+
+    first = rows[:300]
+    nodes = sets.where("node < 1000").select("node", F.col("n_shingles").alias("n"), F.col("node").alias("label"))
+    assert minhash.prefix_links(sets.select("node", "items"), nodes, 80).count() == 0 and len(first) == 300
+
+
+def test_prefix_links_match_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        n = rng.randint(8, 60)
+        base = rng.choice([range(0, 60), range(30, 90), range(50, 110)])
+        rows.append((i, sorted({rng.choice(base) if rng.random() < 0.9 else 1000 + rng.randint(0, 300) for _ in range(n)})))
+        if rng.random() < 0.5:
+            rows.append((500 + i, sorted({*rows[-1][1][1:], 2000 + i} if rng.random() < 0.5 else rows[-1][1][:-1])))
+    hashes = {v: int(h) for v, h in zip(range(3000), np.random.default_rng(1).integers(0, 1 << 63, 3000))}
+    sets = spark.createDataFrame([(i, np.sort(np.array([hashes[v] for v in x], np.uint64)).tobytes(), len(x)) for i, x in rows], "node long, items binary, n long")
+    nodes = sets.select("node", "n", F.col("node").alias("label"))
+    links = {tuple(r) for r in minhash.prefix_links(sets.select("node", "items"), nodes, 80).collect()}
+    held = {i: set(x) for i, x in rows}
+    want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(held, 2) if 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b])}
+
+    def joined(edges):
+        up = {i: i for i in held}
+
+        def find(x):
+            return x if up[x] == x else find(up[x])
+
+        for a, b in sorted(edges):
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+        return {i: find(i) for i in held}
+
+    assert links <= want and joined(links) == joined(want) and len(want) > 50
