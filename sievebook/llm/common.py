@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch between the JVM and Python. Texts are long, so Spark's defaults would hold tens of MB at both ends.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
-#: A key is heavy if more than this part of all rows has it, so there are fewer heavy keys than its inverse.
-HEAVY = 1 / 256
+#: The keys that most rows have are heavy: at most so many, of more rows than these.
+HEAVY, MANY = 256, 1000
+#: Links under which no hub needs a way of its own: any task can take all of them.
+SMALL = 200_000
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -54,25 +56,23 @@ def cut(df: DataFrame) -> DataFrame:
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
     """rows joined with a table of unique keys, whose column ``weight`` says how many rows have each key.
 
-    Keys that more than HEAVY of all rows have are fewer than 1 / HEAVY: they
-    are broadcast, so that no task gets all rows of one of them. The other
-    keys meet by a shuffle. Rows whose key is null are for the caller to keep
+    The HEAVY keys that most rows have are broadcast, so that no task gets all
+    rows of one of them; any other key has less than one in HEAVY of the rows.
+    They meet by a shuffle. Rows whose key is null are for the caller to keep
     apart. ``table`` is read several times: cut it first.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = table.where(F.col(weight) > max(1.0, total * HEAVY))
-    rest = table.where(F.col(weight) <= max(1.0, total * HEAVY)).drop(weight)
-    if hot.isEmpty():
-        return rows.join(rest, keys, how)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
-    return rows.join(F.broadcast(hot.drop(weight)), keys).unionByName(cold)
+    hot = table.where(F.col(weight) > MANY).orderBy(F.desc(weight)).limit(HEAVY).collect()
+    table = table.drop(weight)
+    if not hot:
+        return rows.join(table, keys, how)
+    top = F.broadcast(rows.sparkSession.createDataFrame([tuple(r[c] for c in table.columns) for r in hot], table.schema))
+    cold = rows.join(top.select(*keys), keys, "left_anti").join(table, keys, how)
+    return rows.join(top, keys).unionByName(cold)
 
 
-def heavy_keys(rows: DataFrame, key: str) -> list:
-    """The values of ``key`` that more than HEAVY of the rows have: fewer than 1 / HEAVY."""
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r[key] for r in counts.where(F.col("n") > max(1.0, total * HEAVY)).select(key).collect()]
+def heavy_keys(counts: DataFrame, key: str, weight: str) -> list:
+    """The HEAVY values of ``key`` with the greatest weights above MANY; a value has one row."""
+    return [r[key] for r in counts.where(F.col(weight) > MANY).orderBy(F.desc(weight)).limit(HEAVY).collect()]
 
 
 #: Tasks over which the rows of a heavy key are dealt.
@@ -99,14 +99,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     parents = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")))
-    inner = cut(edges.select("v").distinct())
+    inner = edges.select("v").distinct()
     tree = parents.join(inner, F.col("u") == F.col("v"), "left_semi").select("u", F.col("m").alias("v"))
     cross = edges.join(parents.where("m <> most"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     solved = _spanned(tree.unionByName(cross).distinct())
     hung = cut(inner.join(solved, F.col("v") == F.col("node"), "left").select(F.col("v").alias("node"), F.coalesce("component", "v").alias("component")))
     leaves = parents.join(inner, F.col("u") == F.col("v"), "left_anti").select("u", F.col("m").alias("node"))
-    sizes = cut(leaves.groupBy("node").agg(F.count("*").alias("n")).join(hung, "node"))
-    return hung.unionByName(lookup(leaves, sizes, ["node"], "n", how="inner").select(F.col("u").alias("node"), "component"))
+    if edges.count() > SMALL:
+        met = lookup(leaves, cut(leaves.groupBy("node").agg(F.count("*").alias("n")).join(hung, "node")), ["node"], "n", how="inner")
+    else:
+        met = leaves.join(hung, "node")
+    return hung.unionByName(met.select(F.col("u").alias("node"), "component"))
 
 
 def _spanned(edges: DataFrame) -> DataFrame:
@@ -119,8 +122,9 @@ def _spanned(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
-        large = lookup(both, low, ["u"], "n", how="inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        met = lookup(both, cut(low), ["u"], "n", how="inner") if state[0] > SMALL else both.join(low, "u")
+        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.where("u <> v").distinct())

@@ -270,10 +270,10 @@ def prefix_links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     first = _prefix_pairs(placed, bits, percent, star=True)
     links = cut(confirmed(sets, first, percent))
     if not links.isEmpty():
-        labelled = cut(placed.select("node", "label").distinct())
+        labelled = placed.select("node", "label").distinct()
         by_label = links.join(labelled.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labelled.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-        merged = cut(components(by_label.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "label"))
-        placed = cut(placed.join(F.broadcast(merged) if merged.count() <= 100_000 else merged, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"))
+        merged = components(by_label.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "label")
+        placed = cut(placed.join(merged, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"))
     return links.unionByName(cut(confirmed(sets, _prefix_pairs(placed, bits, percent, star=False), percent)))
 
 
@@ -293,14 +293,14 @@ def _prefix_pairs(placed: DataFrame, bits: DataFrame, percent: int, star: bool)
     large = large.select("item", "node", "n", "label", "place", F.explode(F.sequence(size_class(F.col("fewest")), size_class(F.col("most")))).alias("class"))
     # Only items and classes whose holders differ in label can add a link.
     ends = small.groupBy("item", "class").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("pivot"))
-    reach = large.groupBy("item", "class").agg(F.min("label").alias("l"), F.max("label").alias("h"))
-    open_ = cut(ends.join(reach, ["item", "class"]).where("least(lo, l) < greatest(hi, h)").select("item", "class", "pivot"))
-    small = small.join(open_, ["item", "class"])
+    reach = large.groupBy("item", "class").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("rows"))
+    open_ = cut(ends.join(reach, ["item", "class"]).where("least(lo, l) < greatest(hi, h)").select("item", "class", "pivot", "rows"))
+    heavy = heavy_keys(open_.groupBy("item").agg(F.sum("rows").alias("n")), "item", "n")
+    small = small.join(open_.drop("rows"), ["item", "class"])
     if star:
         small = small.where("node = pivot")
     small = small.select("item", "class", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), F.col("place").alias("other_place"))
-    large = cut(large.join(open_.select("item", "class"), ["item", "class"], "left_semi"))
-    heavy = heavy_keys(large, "item")
+    large = large.join(open_.select("item", "class"), ["item", "class"], "left_semi")
     small = small.withColumn("salt", F.explode(all_salts(F.col("item"), heavy)))
     joined = large.withColumn("salt", salted(F.col("item"), F.col("node"), heavy)).join(small, ["item", "class", "salt"])
     fits = f"label <> other_label and node <> other and (m < n or (m = n and other < node)) and 100 * m >= {percent} * n"
@@ -320,7 +320,7 @@ def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     is brought to each of the tasks over which a's pairs are dealt.
     """
     pairs = cut(pairs)
-    heavy = heavy_keys(pairs, "a")
+    heavy = heavy_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "n")
     with_b = pairs.withColumn("salt", salted(F.col("a"), F.col("b"), heavy)).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     of_a = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("items").alias("x"), F.explode(all_salts(F.col("node"), heavy)).alias("salt"))
     return with_b.join(of_a, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")

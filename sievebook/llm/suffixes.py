@@ -6,16 +6,21 @@ document with a smaller id is removed. Suffixes are sorted only through
 groups that one text has alone are dropped, and the groups left after the last
 pass are exactly the repeated windows.
 
-The first pass is by a digit whose place is chosen by content: of the 31 (for
-50 symbols) grams of 20 symbols that start in a window, the one with the least
-hash. Equal windows have equal such grams at equal places, so it is enough to
-sort these grams, one in sixteen positions, instead of all positions. Windows
-of grams that only one text has are dropped there. The others are sent with
-their symbols to the task of their gram, which goes on with passes of eight
-symbols each and compares the symbols themselves.
+The first pass is not over all suffixes. Its digit has a place chosen by
+content: of the 31 (for 50 symbols) grams of 20 symbols that start in a window,
+the one with the least hash. Equal windows have equal such grams at equal
+places, so it is enough to group the texts by the hashes of these grams, one
+in sixteen positions. Windows of grams that only one text has are dropped
+there. The others are sent with their symbols to the task of their gram. There
+whole contexts (the windows around one gram) that are equal symbol by symbol
+are settled at once; what is left goes through radix passes of eight symbols
+each. Copies of a whole text are told by their SHA-256 and are settled before
+all that.
 
 Rows that are shuffled are blobs of many records, so the work inside a task is
-on whole arrays. The number of buckets follows spark.sql.shuffle.partitions.
+on whole arrays. The number of buckets follows spark.sql.shuffle.partitions and
+the bytes of the texts. A task takes one bucket at a time into memory; a gram
+that very many texts have stays in one bucket.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import DIGITS, SPACED, chunks, mix, powers, row_of, span_hashes, word_spans
-from .common import bounded, cut
+from .common import bounded, cut, lookup
 
 _U = np.uint64
 _TOP = np.uint32(0xFFFFFFFF)
@@ -249,8 +254,8 @@ def repeated(digits: np.ndarray, start: np.ndarray, doc: np.ndarray, steps: list
 _RANGES = "doc_id long, mark long, ranges binary"
 
 
-#: Symbols of contexts that a task expands at a time.
-PART = 1_000_000
+#: Symbols of contexts that a task expands at a time; bytes of texts for each bucket, if shuffle partitions are fewer.
+PART, PER_BUCKET = 1_000_000, 64 << 20
 
 
 def decide(code: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,10 +272,15 @@ def decide(code: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray,
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((DIGITS[part] if part.dtype == np.uint8 else part) * up[: len(part)], out=total[1:])
         content[lo:hi] = mix((total[at + size[lo:hi]] - total[at]) * down[at] + size[lo:hi].astype(np.uint64))
-    order = np.lexsort((doc, content, code))
-    c, h, d = code[order], content[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])]))
-    members = np.diff(np.append(first, len(d)))
+    while True:
+        order = np.lexsort((doc, content, code))
+        c, h, d = code[order], content[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])]))
+        members = np.diff(np.append(first, len(d)))
+        unlike = _unlike(raw, base, size, order, np.repeat(order[first], members))
+        if not len(unlike):
+            break
+        content[unlike] = mix(content[unlike] + _U(1))  # symbols differ under one hash
     whole = d > np.repeat(d[first], members)
     copies, count = order[whole], size - threshold + 1
     gone = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -305,6 +315,20 @@ def decide(code: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray,
     return copies, np.concatenate(gone[0]), np.concatenate(gone[1])
 
 
+def _unlike(raw: np.ndarray, base: np.ndarray, size: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Those of the contexts ``own`` that do not have the symbols of ``other``, place by place."""
+    out = [own[size[own] != size[other]]]
+    pair = (size[own] == size[other]) & (own != other)
+    own, other = own[pair], other[pair]
+    for lo, hi in _slices(size[own]):
+        length = size[own[lo:hi]]
+        inside = _counted(length)
+        differ = raw[np.repeat(base[own[lo:hi]], length) + inside] != raw[np.repeat(base[other[lo:hi]], length) + inside]
+        if differ.any():
+            out.append(own[lo:hi][np.bincount(np.repeat(np.arange(hi - lo), length), weights=differ, minlength=hi - lo) > 0])
+    return np.concatenate(out)
+
+
 def _slices(size: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of contexts of at most PART symbols, or one."""
     ends, lo = np.cumsum(size), 0
@@ -390,11 +414,17 @@ def _prepared(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("sha", F.sha2("text", 256)).withColumn("mark", F.xxhash64("sha"))
 
 
+def _firsts(slim: DataFrame) -> DataFrame:
+    """sha, the smallest doc_id that has it, and n, the number of rows, of texts in several rows."""
+    return cut(slim.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+
+
 def removals(docs: DataFrame, threshold: int, unit: str, with_text: bool) -> DataFrame:
     """doc_id, mark, n_removed, n_spans, kept_sha256, kept of the texts that lose symbols to unequal texts with smaller ids."""
     spark = bounded(docs.sparkSession)
     gram = max(8, threshold * 2 // 5)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // PER_BUCKET)
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= threshold)).select("doc_id", "mark", "text")
     found = usable.mapInArrow(_find(threshold, gram, buckets, unit), _BLOB)
     shared = cut(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _PLACES))
@@ -416,9 +446,9 @@ def remove_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
     """
     docs = _prepared(documents)
     slim = docs.select("doc_id", "mark", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
-    first = slim.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
+    first = _firsts(slim)
     cuts = removals(docs, threshold, "byte", False).dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", "n_removed", "n_spans", F.col("kept_sha256").alias("kept"))
-    rows = slim.join(first, "sha", "left").join(cuts, ["doc_id", "mark"], "left")
+    rows = lookup(slim, first, ["sha"], "n").join(cuts, ["doc_id", "mark"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= threshold)
     return rows.select(
         "doc_id", "n_bytes",
@@ -440,8 +470,8 @@ def without_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
     cuts = removals(docs, threshold, "word", True).select("doc_id", "mark", F.decode("kept", "UTF-8").alias("kept"))
     words = F.size(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
     slim = docs.where("doc_id is not null").select("doc_id", "mark", "sha", words.alias("words"))
-    first = slim.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    copies = slim.where(F.col("words") >= threshold).join(first, "sha").where("doc_id > first").select("doc_id", "mark", F.lit(None).cast("string").alias("kept"))
+    slim = slim.where(F.col("words") >= threshold)
+    copies = lookup(slim, _firsts(slim), ["sha"], "n", how="inner").where("doc_id > first").select("doc_id", "mark", F.lit(None).cast("string").alias("kept"))
     changed = cuts.unionByName(copies).groupBy("doc_id", "mark").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept"), F.lit(True).alias("__changed"))
     mark = F.xxhash64(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     rows = documents.withColumn("__own", mark).join(changed, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")

@@ -73,3 +73,28 @@ def test_sliding_windows():
     for w in (1, 2, 7, 31, 32):
         assert suffixes.slide(x, w, True).tolist() == [min(x[i : i + w]) for i in range(len(x) - w + 1)]
         assert suffixes.slide(x, w, False).tolist() == [max(x[i : i + w]) for i in range(len(x) - w + 1)]
+
+
+def test_contexts_of_one_hash_but_other_symbols_are_told_apart(monkeypatch):
+    """With a hash that is the same for all contexts only the symbols decide."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 100, 60).astype(np.uint8) for _ in range(6)]
+    contexts = [texts[i] for i in (0, 1, 0, 2, 1, 3, 0)]
+    size, doc, code = np.full(7, 60), np.arange(7), np.zeros(7, np.uint32)
+    plain = suffixes.decide(code, size, doc, np.concatenate(contexts), 50)
+    real, calls = suffixes.mix, []
+
+    def same(x):
+        calls.append(len(x))
+        return np.zeros_like(x) if len(calls) == 1 else real(x)
+
+    monkeypatch.setattr(suffixes, "mix", same)
+    again = suffixes.decide(code, size, doc, np.concatenate(contexts), 50)
+    assert sorted(plain[0]) == sorted(again[0]) == [2, 4, 6] and len(calls) > 1
+    assert set(zip(plain[1], plain[2])) == set(zip(again[1], again[2]))
+
+
+def test_a_passage_in_every_document(spark):
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    check(spark, [(i, "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 60))) + passage[: rng.randint(60, 400)] + str(i)) for i in range(300)])

@@ -8,10 +8,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from sievebook.llm import bpe, bytekit, fingerprint, licenses, minhash, packing
+from sievebook.llm import bpe, bytekit, common, fingerprint, licenses, minhash, packing
 
 from .util import SF, docs, edge_texts
 
@@ -233,9 +234,11 @@ def test_license_scan_matches_brute_force(spark):
     assert "mit" in next(r for r in out if r.doc_id == 9104).labels
 
 
-def test_components_match_brute_force(spark):
-    from sievebook.llm.common import components
-
+@pytest.mark.parametrize("small", [common.SMALL, 0])
+def test_components_match_brute_force(spark, monkeypatch, small):
+    """The second time with every hub treated as one of many rows."""
+    monkeypatch.setattr(common, "SMALL", small)
+    monkeypatch.setattr(common, "MANY", min(common.MANY, small))
     rng = random.Random(8)
     shapes = [[(1, i) for i in range(2, 400)], [(i, i + 1) for i in range(1000, 1040)], [(2000 + i, 2500) for i in range(200)], [(rng.randint(3000, 3300), rng.randint(3000, 3300)) for _ in range(200)], [(3000, 1)]]
     links = [e for s in shapes for e in s]
@@ -250,10 +253,10 @@ def test_components_match_brute_force(spark):
     for a, b in links:
         x, y = find(a), find(b)
         up[max(x, y)] = min(x, y)
-    got = [tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()]
+    got = [tuple(r) for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()]
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert sorted(got) == sorted((x, find(x)) for x in linked)
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_a_template_that_makes_no_text_alike_forms_no_pairs(spark):
@@ -272,9 +275,12 @@ def test_a_template_that_makes_no_text_alike_forms_no_pairs(spark):
     assert minhash.prefix_links(sets.select("node", "items"), nodes, 80).count() == 0 and len(first) == 300
 
 
-def test_prefix_links_match_brute_force(spark):
+@pytest.mark.parametrize("many", [common.MANY, 3])
+def test_prefix_links_match_brute_force(spark, monkeypatch, many):
+    """The second time with shingles of more than three texts split over tasks."""
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(common, "MANY", many)
     rng = random.Random(11)
     rows = []
     for i in range(160):
