@@ -89,6 +89,15 @@ def all_salts(key: Column, heavy: list) -> Column:
     return F.when(key.isin(heavy), F.sequence(F.lit(0), F.lit(SPLIT - 1))).otherwise(F.array(F.lit(0))) if heavy else F.array(F.lit(0))
 
 
+#: Rows of a slim table for each task.
+ROWS = 50_000
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """df, derived from a slim table of n rows, in no more tasks than these need: many shuffles of small tables follow each other."""
+    return df.coalesce(max(1, -(-n // ROWS)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of (a, b) links: (node, component), component being the smallest node reached.
 
@@ -98,23 +107,25 @@ def components(links: DataFrame) -> DataFrame:
     is solved by ``_spanned``.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    parents = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")))
-    inner = edges.select("v").distinct()
-    tree = parents.join(inner, F.col("u") == F.col("v"), "left_semi").select("u", F.col("m").alias("v"))
-    cross = edges.join(parents.where("m <> most"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    solved = _spanned(tree.unionByName(cross).distinct())
-    hung = cut(inner.join(solved, F.col("v") == F.col("node"), "left").select(F.col("v").alias("node"), F.coalesce("component", "v").alias("component")))
-    leaves = parents.join(inner, F.col("u") == F.col("v"), "left_anti").select("u", F.col("m").alias("node"))
-    if edges.count() > SMALL:
+    n = edges.count()
+    edges = few(edges, n)
+    parents = cut(few(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), n))
+    inner = cut(few(edges.select("v").distinct(), n))
+    tree = few(parents.join(inner, F.col("u") == F.col("v"), "left_semi").select("u", F.col("m").alias("v")), n)
+    cross = few(edges.join(parents.where("m <> most"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), n)
+    solved = _spanned(tree.unionByName(cross).distinct(), n)
+    hung = cut(few(inner.join(solved, F.col("v") == F.col("node"), "left").select(F.col("v").alias("node"), F.coalesce("component", "v").alias("component")), n))
+    leaves = few(parents.join(inner, F.col("u") == F.col("v"), "left_anti").select("u", F.col("m").alias("node")), n)
+    if n > SMALL:
         met = lookup(leaves, cut(leaves.groupBy("node").agg(F.count("*").alias("n")).join(hung, "node")), ["node"], "n", how="inner")
     else:
-        met = leaves.join(hung, "node")
+        met = few(leaves.join(hung, "node"), n)
     return hung.unionByName(met.select(F.col("u").alias("node"), "component"))
 
 
-def _spanned(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of (u, v) edges, u above v: large-star and small-star steps by turns, whose number grows with the logarithm of the component size."""
-    edges = cut(edges)
+def _spanned(edges: DataFrame, n: int) -> DataFrame:
+    """(node, component) of the nodes of at most n (u, v) edges, u above v: large-star and small-star steps by turns, whose number grows with the logarithm of the component size."""
+    edges = cut(few(edges, n))
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -122,11 +133,12 @@ def _spanned(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        low = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), n)
         met = lookup(both, cut(low), ["u"], "n", how="inner") if state[0] > SMALL else both.join(low, "u")
-        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.where("u <> v").distinct())
+        large = few(met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), 2 * n)
+        large = few(large.distinct(), n)
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")), n)
+        small = few(large.join(low, "u"), n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = cut(few(small.where("u <> v").distinct(), n))
     nodes = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return nodes.unionByName(edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component")))
+    return few(nodes, n).unionByName(few(edges.select(F.col("v").alias("node")).distinct(), n).select("node", F.col("node").alias("component")))

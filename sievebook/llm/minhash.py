@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import LOWER_DIGITS, SPACED, chunks, distinct_by_row, mix, row_of, shingles, span_hashes, word_spans
-from .common import all_salts, bounded, components, cut, heavy_keys, lookup, salted
+from .common import all_salts, bounded, components, cut, few, heavy_keys, lookup, salted
 
 BANDS, ROWS = 25, 5
 _U = np.uint64
@@ -192,23 +192,26 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     takes_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     usable = profiles.where(takes_part)
     of_id = profiles.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*member)).alias("lo"), F.max(F.struct(*member)).alias("hi"))
-    unlike = cut(of_id.where("lo <> hi").select("doc_id"))
+    total = profiles.count()
+    unlike = cut(few(of_id, total).where("lo <> hi").select("doc_id"))
     repeated = not unlike.isEmpty()
     # A node is a class of equal sets: its first id, or the hash of its set where rows of that id have unlike sets. First
     # ids come first in buckets too, which leaves less to the prefix filter than an order by hashes.
     classes = usable.groupBy(*member).agg(F.min("doc_id").alias("first"), F.count("*").alias("members")).withColumn("node", F.col("first"))
     if repeated:
         classes = classes.join(unlike.select(F.col("doc_id").alias("first"), F.lit(True).alias("several")), "first", "left").withColumn("node", F.when(F.col("several"), F.xxhash64(*member)).otherwise(F.col("first"))).drop("several")
-    classes = cut(classes)
+    classes = cut(few(classes, total))
     # A class's bands: those of its first document, found again by its id, so that arrays are not aggregated.
     own = classes.select("node", F.col("first").alias("doc_id"), *member)
     nodes = usable.join(own, ["doc_id", *member]).select("node", "n_shingles", "bands").dropDuplicates(["node"])
-    banded = cut(nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")))
-    least = cut(banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1").withColumn("weight", F.col("size")))
-    buckets = cut(lookup(banded, least, ["key"], "weight", how="inner").select("key", "node", "n", "pivot", "size"))
+    banded = cut(few(nodes, total).select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")))
+    least = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1").withColumn("weight", F.col("size"))
+    least = cut(few(least, bands * total))
+    buckets = cut(few(lookup(banded, least, ["key"], "weight", how="inner").select("key", "node", "n", "pivot", "size"), bands * total))
 
     # The one step that moves whole texts: the sets of all that share a bucket, for every comparison that follows.
-    wanted = cut(buckets.select("node").distinct().join(classes.select("node", F.col("first").alias("doc_id")), "node"))
+    wanted = few(buckets.select("node").distinct(), total).join(classes.select("node", F.col("first").alias("doc_id")), "node")
+    wanted = cut(few(wanted, total))
     schema = "node long, n_shingles long, set_a long, set_b long, items binary"
     clear = wanted.join(unlike, "doc_id", "left_anti") if repeated else wanted
     sets = docs.join(clear, "doc_id").dropDuplicates(["doc_id"]).select("node", "text").mapInArrow(_sets(k), schema).select("node", "items")
@@ -221,21 +224,23 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
 
     close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = buckets.select("node", "n", F.col("pivot.node").alias("other"), F.col("pivot.n").alias("m")).where(f"node <> other and {close}").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(confirmed(sets, pairs, percent))
+    links = cut(confirmed(sets, few(pairs, bands * total), percent))
     labels = cut(components(links))
 
     # What is left: pairs of a bucket whose ends are not yet connected. All members of such buckets are joined anew by
     # their rarest shingles, which is exact (prefix filter) and passes over what many of them share.
-    known = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
-    mixed = cut(known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key", "size"))
-    unsettled = lookup(known, mixed, ["key"], "size", how="inner").groupBy("node", "n").agg(F.first("label").alias("label"))
+    known = few(buckets.join(labels, "node", "left"), bands * total).select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key", "size")
+    mixed = cut(few(mixed, bands * total))
+    unsettled = few(lookup(known, mixed, ["key"], "size", how="inner"), bands * total).groupBy("node", "n").agg(F.first("label").alias("label"))
     more = prefix_links(sets, unsettled, percent)
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more)))
 
-    of_class = classes.join(labels, "node", "left").select(*member, "members", "first", F.coalesce("component", "node").alias("label"))
-    lowest = labels.join(classes, "node").groupBy(F.col("component").alias("label")).agg(F.min("first").alias("lowest"))
-    of_class = cut(of_class.join(lowest, "label", "left").select(*member, "members", "label", F.coalesce("lowest", "first").alias("component_id")))
+    of_class = few(classes.join(labels, "node", "left"), total).select(*member, "members", "first", F.coalesce("component", "node").alias("label"))
+    lowest = few(labels.join(classes, "node"), total).groupBy(F.col("component").alias("label")).agg(F.min("first").alias("lowest"))
+    of_class = few(of_class.join(few(lowest, total), "label", "left"), total)
+    of_class = cut(of_class.select(*member, "members", "label", F.coalesce("lowest", "first").alias("component_id")))
     columns = ["doc_id", "n_shingles", "component_id", "mark", "label"]
     alone = profiles.where(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "mark", F.lit(None).cast("long").alias("label"))
     judged_rows = lookup(usable, of_class, member, "members").select(*columns).unionByName(alone)
@@ -255,33 +260,35 @@ def prefix_links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     holders are not all connected give all their pairs.
     """
     nodes = cut(nodes)
-    lists = sets.join(nodes, "node", "left_semi").mapInArrow(_lists, "node long, items array<long>, " + ", ".join(f"{x} long" for x in PARITY))
-    lists = cut(lists.join(nodes, "node"))
+    m = 100 * nodes.count()  # rows of a hundred shingles count like slim ones
+    nodes = few(nodes, m)
+    lists = few(sets.join(nodes, "node", "left_semi"), m).mapInArrow(_lists, "node long, items array<long>, " + ", ".join(f"{x} long" for x in PARITY))
+    lists = cut(few(lists.join(nodes, "node"), m))
     held = lists.select("node", F.explode("items").alias("item"))
-    often = held.groupBy("item").agg(F.count("*").alias("often")).where("often > 1")
+    often = few(held.groupBy("item").agg(F.count("*").alias("often")).where("often > 1"), m)
     # Items of one node stand first; they are counted, not listed.
-    shared = held.join(often, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("shared"))
+    shared = few(held.join(often, "item"), m).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("shared"))
     last = F.expr(f"cast(n - ceil(n * {percent} / 100) as int)")
-    placed = shared.join(nodes, "node").withColumn("alone", (F.col("n") - F.size("shared")).cast("int"))
+    placed = few(few(shared, m).join(nodes, "node"), m).withColumn("alone", (F.col("n") - F.size("shared")).cast("int"))
     placed = placed.select("node", "n", "label", F.posexplode(F.slice("shared", 1, F.greatest(last - F.col("alone") + 1, F.lit(0)))).alias("at", "one"), "alone")
     placed = cut(placed.select("node", "n", "label", (F.col("alone") + F.col("at")).cast("long").alias("place"), F.col("one.item").alias("item")))
     bits = lists.select("node", *PARITY)
 
-    first = _prefix_pairs(placed, bits, percent, star=True)
+    first = _prefix_pairs(placed, bits, percent, m, star=True)
     links = cut(confirmed(sets, first, percent))
     if not links.isEmpty():
-        labelled = placed.select("node", "label").distinct()
+        labelled = few(placed.select("node", "label").distinct(), m)
         by_label = links.join(labelled.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labelled.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
         merged = components(by_label.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "label")
-        placed = cut(placed.join(merged, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"))
-    return links.unionByName(cut(confirmed(sets, _prefix_pairs(placed, bits, percent, star=False), percent)))
+        placed = cut(few(placed.join(merged, "label", "left"), m).withColumn("label", F.coalesce("component", "label")).drop("component"))
+    return links.unionByName(cut(confirmed(sets, _prefix_pairs(placed, bits, percent, m, star=False), percent)))
 
 
 #: Sets that look for each other are dealt by size, in classes of this ratio.
 RATIO = 0.9
 
 
-def _prefix_pairs(placed: DataFrame, bits: DataFrame, percent: int, star: bool) -> DataFrame:
+def _prefix_pairs(placed: DataFrame, bits: DataFrame, percent: int, m: int, star: bool) -> DataFrame:
     """(a, b) pairs of nodes of different labels that share an item at places that allow the likeness; with ``star`` only those with the smallest node of an item and class of sizes."""
     size_class = lambda x: F.floor(F.log(x.cast("double")) / math.log(1 / RATIO) + 1e-9).cast("int")
     asked = lambda n, m: F.expr(f"ceil({percent} * ({n} + {m}) / {100 + percent})")
@@ -294,13 +301,13 @@ def _prefix_pairs(placed: DataFrame, bits: DataFrame, percent: int, star: bool)
     # Only items and classes whose holders differ in label can add a link.
     ends = small.groupBy("item", "class").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("pivot"))
     reach = large.groupBy("item", "class").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("rows"))
-    open_ = cut(ends.join(reach, ["item", "class"]).where("least(lo, l) < greatest(hi, h)").select("item", "class", "pivot", "rows"))
+    open_ = cut(few(few(ends, m).join(few(reach, m), ["item", "class"]), m).where("least(lo, l) < greatest(hi, h)").select("item", "class", "pivot", "rows"))
     heavy = heavy_keys(open_.groupBy("item").agg(F.sum("rows").alias("n")), "item", "n")
-    small = small.join(open_.drop("rows"), ["item", "class"])
+    small = few(small.join(open_.drop("rows"), ["item", "class"]), m)
     if star:
         small = small.where("node = pivot")
     small = small.select("item", "class", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), F.col("place").alias("other_place"))
-    large = large.join(open_.select("item", "class"), ["item", "class"], "left_semi")
+    large = few(large.join(open_.select("item", "class"), ["item", "class"], "left_semi"), m)
     small = small.withColumn("salt", F.explode(all_salts(F.col("item"), heavy)))
     joined = large.withColumn("salt", salted(F.col("item"), F.col("node"), heavy)).join(small, ["item", "class", "salt"])
     fits = f"label <> other_label and node <> other and (m < n or (m = n and other < node)) and 100 * m >= {percent} * n"
