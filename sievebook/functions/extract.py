@@ -49,7 +49,8 @@ def field_after(text: Column, labels: str, stops: str, most: int = 400) -> Colum
 
 def parse_idnp(text: Column) -> Column:
     """The first 13-digit number after its label; labels other than that of the number itself need a number of the known forms (F-02)."""
-    pattern = r"(?iu)(IDNP|cod(?:ul)? personal|identificare de stat|număr(?:ul)? de identificare(?!\s+fiscal)(?:\s+de stat)?|numar national de identificare)[^0-9]{0,40}(\d{13})"
+    # Labels of the number.
+    pattern = r"(?iu)(IDNP|identificare de stat|număr(?:ul)? de identificare(?!\s+fiscal)(?:\s+de stat)?|numar national de identificare)[^0-9]{0,40}(\d{13})"
     labels, numbers = (F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(i)) for i in (1, 2))
     pairs = F.filter(F.arrays_zip(labels.alias("label"), numbers.alias("number")), lambda p: (F.lower(p["label"]) == "idnp") | p["number"].rlike(r"^(09|20)\d{11}$"))
     return F.get(pairs, F.lit(0))["number"]

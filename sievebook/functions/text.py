@@ -50,21 +50,31 @@ def fold(text: Column, variant: str = "build") -> Column:
     ``build`` drops Cyrillic letters outside the table and decomposes
     compatibility characters; ``search`` turns both into blanks.
     """
-    x = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    x = F.when(plain.rlike(r"[^\x00-\x7F]"), _latin(plain, variant)).otherwise(plain)
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+
+
+def _latin(x: Column, variant: str) -> Column:
+    """Lower-case text with its letters in Latin ones; rare letters are looked for before each is replaced."""
+    y = x
     for letter, latin in CYRILLIC.items():
         if len(latin) == 2:
-            x = F.replace(x, F.lit(letter), F.lit(latin))
-    plain = {k: v for k, v in CYRILLIC.items() if len(v) == 1}
+            y = F.replace(y, F.lit(letter), F.lit(latin))
+    single = {k: v for k, v in CYRILLIC.items() if len(v) == 1}
     gone = "".join(k for k, v in CYRILLIC.items() if not v)
-    x = F.translate(x, "".join(plain) + gone, "".join(plain.values()))
+    y = F.translate(y, "".join(single) + gone, "".join(single.values()))
     if variant == "build":
-        x = F.regexp_replace(x, "[Ѐ-ӿ]", "")
+        y = F.regexp_replace(y, "[Ѐ-ӿ]", "")
+    x = F.when(x.rlike("[Ѐ-ӿ]"), y).otherwise(x)
     letters, bases, longer = decompositions(variant == "build")
-    for letter, base in longer:
-        x = F.replace(x, F.lit(letter), F.lit(base))
+    if longer:
+        y = x
+        for letter, base in longer:
+            y = F.replace(y, F.lit(letter), F.lit(base))
+        x = F.when(x.rlike("[" + "".join(letter for letter, _ in longer) + "]"), y).otherwise(x)
     x = F.translate(x, letters, bases)
-    x = F.regexp_replace(x, r"\p{Mn}" if variant == "build" else r"\p{M}", "")
-    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+    return F.regexp_replace(x, r"\p{Mn}" if variant == "build" else r"\p{M}", "")
 
 
 def canon(token: Column) -> Column:
@@ -80,13 +90,14 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Search tokens: folded words longer than one letter or with a digit, made canonical (T-04)."""
-    return F.transform(F.filter(words(fold(text, "search")), lambda w: (F.length(w) > 1) | w.rlike("[0-9]")), canon)
+    """Search tokens: folded words longer than one letter or with a digit, made canonical (T-04). No step of canon crosses a blank, so it is taken once for all words."""
+    kept = F.filter(words(fold(text, "search")), lambda w: (F.length(w) > 1) | w.between("0", "9"))
+    return words(canon(F.array_join(kept, " ")))
 
 
 def canon_words(text: Column) -> Column:
     """All folded words, made canonical (T-05)."""
-    return F.transform(words(fold(text)), canon)
+    return words(canon(fold(text)))
 
 
 def clean_ws(text: Column) -> Column:

@@ -104,7 +104,7 @@ class DecisionSheet:
 def decision_sheet(rows: DataFrame, decisions: DataFrame, id: str, q: str = "") -> DecisionSheet:
     """A decision with its active records, of which a query keeps those that hold all its words (B-05).
 
-    Records can be exported whole by publish.write_csv. Words are looked for
+    Records can be exported whole by publish.full_lines. Words are looked for
     in the blob of search.index, which the rows then need.
     """
     own = decisions.where(F.col("id") == id)
@@ -129,7 +129,7 @@ def home(rows: DataFrame, groups: DataFrame, decisions: DataFrame, most: int = 7
     latest = decisions.where("kind <> 'report' and status = 'in_force'").orderBy(F.desc_nulls_last("date"), F.desc_nulls_last("number")).limit(1)
     by_month = registry.counts(active.select(dates.month(F.col("applied")).alias("month")), "month")
     return {
-        "kpis": kpis, "latestDecision": latest, "recent": active.orderBy(F.desc_nulls_last("applied"), "name", "ord").limit(most),
+        "kpis": kpis, "latestDecision": latest, "recent": active.orderBy(F.desc_nulls_last("applied"), F.collate(F.col("name"), "ro"), "ord").limit(most),
         "moldova": ranked["moldova"].limit(most), "international": ranked["international"].limit(most),
         "byRegime": registry.counts(active, "regime").orderBy(F.desc("count"), "regime"), "byType": registry.counts(active, "type"), "byMonth": by_month, "programs": largest,
     }

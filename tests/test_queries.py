@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from sievebook import queries
+from sievebook import queries, registry_queries  # noqa: F401 (registers more queries)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
