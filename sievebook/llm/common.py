@@ -53,6 +53,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """After a step that shuffled whole texts: a collection on the driver, after which Spark's cleaner drops the files of finished shuffles."""
+    spark._jvm.System.gc()
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
     """rows joined with a table of unique keys, whose column ``weight`` says how many rows have each key.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import LOWER_DIGITS, SPACED, chunks, distinct_by_row, mix, row_of, shingles, span_hashes, word_spans
-from .common import all_salts, bounded, components, cut, few, heavy_keys, lookup, salted
+from .common import all_salts, bounded, components, cut, few, heavy_keys, lookup, salted, sweep
 
 BANDS, ROWS = 25, 5
 _U = np.uint64
@@ -221,10 +221,12 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
         several = several.withColumn("node", F.xxhash64(*member)).join(unclear.select("node"), "node", "left_semi")
         sets = sets.unionByName(several.select("node", "items").dropDuplicates(["node"]))
     sets = cut(sets)
+    sweep(documents.sparkSession)
 
     close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = buckets.select("node", "n", F.col("pivot.node").alias("other"), F.col("pivot.n").alias("m")).where(f"node <> other and {close}").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(confirmed(sets, few(pairs, bands * total), percent))
+    sweep(documents.sparkSession)
     labels = cut(components(links))
 
     # What is left: pairs of a bucket whose ends are not yet connected. All members of such buckets are joined anew by
@@ -234,6 +236,7 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     mixed = cut(few(mixed, bands * total))
     unsettled = few(lookup(known, mixed, ["key"], "size", how="inner"), bands * total).groupBy("node", "n").agg(F.first("label").alias("label"))
     more = prefix_links(sets, unsettled, percent)
+    sweep(documents.sparkSession)
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more)))
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import DIGITS, SPACED, chunks, mix, powers, row_of, span_hashes, word_spans
-from .common import bounded, cut, lookup
+from .common import bounded, cut, lookup, sweep
 
 _U = np.uint64
 _TOP = np.uint32(0xFFFFFFFF)
@@ -428,6 +428,7 @@ def removals(docs: DataFrame, threshold: int, unit: str, with_text: bool) -> Dat
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= threshold)).select("doc_id", "mark", "text")
     found = usable.mapInArrow(_find(threshold, gram, buckets, unit), _BLOB)
     shared = cut(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _PLACES))
+    sweep(spark)
     places = shared.groupBy("doc_id", "mark").agg(F.collect_list("places").alias("places"))
     # Texts meet their anchors and, later in the same plan, their ranges on the same key: they are shuffled once, and the exchange is used twice.
     contexts = usable.join(places.hint("shuffle_merge"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "places").mapInArrow(_contexts(threshold, gram, buckets, unit), _BLOB)
