@@ -156,13 +156,11 @@ class Scanner:
             by_template.setdefault(t, []).append((start, place, size))
         for t, found in by_template.items():
             label, sequence = self.templates[t]
-            chains: list[tuple[int, int, int]] = []  # (end in text, end in template, covered)
+            chains: dict[tuple[int, int], int] = {}  # (end in text, end in template): words covered
             for start, place, size in sorted(set(found)):
-                total = size
-                for end, stop, covered in chains[-32:]:
-                    if 0 <= start - end <= GAP and 0 <= place - stop <= GAP:
-                        total = max(total, covered + size)
-                chains.append((start + size, place + size, total))
+                near = (chains.get((start - i, place - j), 0) for i in range(GAP + 1) for j in range(GAP + 1))
+                total, end = size + max(near), (start + size, place + size)
+                chains[end] = max(total, chains.get(end, 0))
                 best[label] = max(best.get(label, 0.0), min(1.0, total / len(sequence)))
         return best
 

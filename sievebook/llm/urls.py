@@ -7,6 +7,7 @@ on the driver in plain Python.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -71,6 +72,8 @@ def _of_size(marked: Column, field: str, n: int, buckets: int) -> Column:
 def fit(rows: list[tuple[list[int], int]], buckets: int = BUCKETS) -> tuple[list[float], float]:
     """Weights and bias of logistic regression on the mean of the grams' weights, by full gradient steps."""
     weights, bias = [0.0] * buckets, 0.0
+    if not rows:
+        return weights, -30.0
     for _ in range(PASSES):
         gradient: dict[int, float] = {}
         shift = 0.0
@@ -94,11 +97,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled_
     probability reaches the threshold. Null urls and such without :// have
     empty host and path, which the model judges like any other. Rows are
     independent; other columns are not read. Of a labelled table at most
-    MOST_ROWS rows are used.
+    MOST_ROWS rows are used; of an empty one nothing is learnt, and only rules
+    block.
     """
     spark = pages.sparkSession
     table = (labelled_urls if labelled_urls is not None else labelled())[:MOST_ROWS]
-    seeds = spark.range(1).select(F.explode(F.from_json(F.lit("[" + ",".join('{"url":"%s","label":%d}' % (u, y) for u, y in table) + "]"), "array<struct<url string, label int>>")).alias("r")).select("r.*")
+    given = F.lit(json.dumps([{"url": u, "label": y} for u, y in table]))
+    seeds = spark.range(1).select(F.explode(F.from_json(given, "array<struct<url string, label int>>")).alias("r")).select("r.*")
     features = lambda host, path: F.concat(grams(host, "h"), grams(path, "p"))
     known = seeds.select(features(host_of(F.col("url")), path_of(F.col("url"))).alias("f"), "label")
     weights, bias = fit([(r.f, r.label) for r in known.collect()])

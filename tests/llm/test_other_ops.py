@@ -52,6 +52,28 @@ def test_url_model_on_held_out_rows(spark):
     assert np.mean([out[i] == bool(y) for i, (_, y) in enumerate(table[half:])]) > 0.85
 
 
+def test_url_score_matches_plain_model(spark):
+    """Features, fit and score in plain Python, the hashes being Spark's."""
+    from pyspark.sql import functions as F
+
+    table = [('http://a."b"\\\\c.net/x', 1), ("https://library.example.com/en/1", 0), ("http://casino.example.net/win", 1), ("no scheme", 0)]
+    rows = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(table)] + [(9, None)], "page_id long, url string")
+    out = {r.page_id: r for r in urls.judge(rows, rules=[], labelled_urls=table).collect()}
+
+    def pieces(host, path):
+        return [(f, m[i : i + n]) for f, x in (("h", host), ("p", path)) for m in [f"^{x}$"] for n in urls.SIZES for i in range(len(m) - n + 1)]
+
+    every = sorted({p for r in out.values() for p in pieces(r.host, r.path)})
+    hashed = spark.createDataFrame(every, "f string, g string").select("f", "g", F.pmod(F.xxhash64("f", "g"), F.lit(urls.BUCKETS)).alias("h")).collect()
+    number = {(r.f, r.g): r.h for r in hashed}
+    own = {i: [number[p] for p in pieces(r.host, r.path)] for i, r in out.items()}
+    weights, bias = urls.fit([(own[i], y) for i, (_, y) in enumerate(table)])
+    for i, r in out.items():
+        z = bias + sum(float(f"{weights[h]:.6g}") for h in own[i]) / max(1, len(own[i])) ** 0.5
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.verdict == ("block" if r.score >= 0.5 else "allow")
+    assert {r.verdict for r in urls.judge(rows, rules=[], labelled_urls=[]).collect()} == {"allow"}
+
+
 def test_url_plan_is_native(spark):
     plan = urls.judge(spark.read.parquet(f"{SF}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "ReadSchema: struct<page_id:bigint,url:string>" in plan

@@ -308,3 +308,28 @@ def test_prefix_links_match_brute_force(spark, monkeypatch, many):
         return {i: find(i) for i in held}
 
     assert links <= want and joined(links) == joined(want) and len(want) > 50
+
+
+def test_license_chains_match_brute_force():
+    """The best chain of maximal matches by trying every predecessor of each."""
+    own, rng = licenses.scanner(), random.Random(12)
+    words = sorted({w for _, s in own.templates for w in s})
+    for _ in range(300):
+        text = []
+        while len(text) < 40:
+            _, sequence = rng.choice(own.templates)
+            at = rng.randrange(len(sequence))
+            text += sequence[at : at + rng.randint(1, 12)] + [rng.choice(words)] * rng.randint(0, 2)
+        matches = []
+        own.scan(text, 0, [], matches)
+        for t, place, start, size in matches:
+            assert own.templates[t][1][place : place + size] == text[start : start + size]
+        want = {}
+        for t in {m[0] for m in matches}:
+            found, best = sorted({m[1:] for m in matches if m[0] == t}, key=lambda m: (m[1], m[0], m[2])), []
+            for place, start, size in found:
+                near = [c for (p, s, n), c in zip(found, best) if 0 <= start - s - n <= licenses.GAP and 0 <= place - p - n <= licenses.GAP]
+                best.append(size + max(near, default=0))
+            label, sequence = own.templates[t]
+            want[label] = max(want.get(label, 0.0), min(1.0, max(best) / len(sequence)))
+        assert own.covered(matches) == want
