@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +55,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """After a step that shuffled whole texts: a collection on the driver, after which Spark's cleaner drops the files of finished shuffles."""
+    """After a step that shuffled whole texts: a collection on the driver, in Python (which may hold the JVM's plans) and in the JVM, after which Spark's cleaner drops the files of finished shuffles."""
+    gc.collect()
     spark._jvm.System.gc()
 
 

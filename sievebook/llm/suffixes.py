@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +98,18 @@ def unplanes(raw: bytes) -> np.ndarray:
     return half[0] | half[1] << np.uint32(16)
 
 
+def squeezed(symbols: np.ndarray, unit: str) -> bytes:
+    """Symbols of contexts as they are shuffled; bytes are texts, which zstd makes smaller than the shuffle's own codec does."""
+    return zstandard.ZstdCompressor(level=1).compress(symbols.tobytes()) if unit == "byte" else symbols.tobytes()
+
+
+def unsqueezed(blobs: list[bytes], unit: str) -> np.ndarray:
+    if unit != "byte":
+        return np.frombuffer(b"".join(blobs), "<u8")
+    open_ = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join(map(open_.decompress, blobs)), np.uint8)
+
+
 def deal(bucket: np.ndarray, owner: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes, bytes, bytes]]:
     """Split records, in order of owner, by bucket: (bucket, their places, ids, marks and record counts of the owners)."""
     order = np.argsort(bucket, kind="stable")
@@ -210,7 +223,7 @@ def _contexts(threshold: int, gram: int, buckets: int, unit: str):
                 size = count[sel] + threshold - 1
                 where = np.repeat(begin[sel] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
                 codes = (hashes[at[sel]] & _U(0xFFFFFFFF)).astype("<u4")
-                out.append((k, i, m, c, planes((begin - bounds[own])[sel]), count[sel].astype("<u2").tobytes() + codes.tobytes(), raw[where].tobytes()))
+                out.append((k, i, m, c, planes((begin - bounds[own])[sel]), count[sel].astype("<u2").tobytes() + codes.tobytes(), squeezed(raw[where], unit)))
             if out:
                 yield _batch(out)
 
@@ -355,7 +368,7 @@ def _decide(threshold: int, unit: str):
             places = np.concatenate([unplanes(r["places"]) for r in rows]).astype(np.int64)
             size = np.concatenate([np.frombuffer(r["a"], "<u2", len(r["a"]) // 6) for r in rows]).astype(np.int64) + threshold - 1
             code = np.concatenate([np.frombuffer(r["a"][len(r["a"]) // 3 :], "<u4") for r in rows])
-            raw = np.frombuffer(b"".join(r["b"] for r in rows), np.uint8 if unit == "byte" else "<u8")
+            raw = unsqueezed([r["b"] for r in rows], unit)
             rows.clear()
             copies, context, inside = decide(code, size, ids[own], raw, threshold)
             del raw
