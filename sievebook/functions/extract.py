@@ -134,7 +134,7 @@ def is_bad_name(name: Column) -> Column:
         none = (F.length(f) < 3) | f.rlike("^[0-9]+$") | f.rlike(BAD_STARTS) | f.contains("modificare efectuata in baza")
         return none | f.rlike(NOT_A_SUBJECT) | (f == "prim ministru") | (f == "exclus") | ~f.rlike("[a-z]{3}")
 
-    return let(fold(name), bad)
+    return let(name, lambda n: let(fold(n), bad))
 
 
 def refine_type(declared: Column, name: Column, info: Column) -> Column:
@@ -146,8 +146,10 @@ def refine_type(declared: Column, name: Column, info: Column) -> Column:
         given = F.when(declared == "vessel", "person").when(declared != "", declared).otherwise("person")
         return F.when(imo & ~birth, "vessel").when(birth, "person").when(entity, "entity").otherwise(given)
 
-    name, info = F.coalesce(name, F.lit("")), F.coalesce(info, F.lit(""))
-    return let(F.struct(fold(name).alias("name"), fold(info).alias("info"), fold(F.concat_ws(" ", name, info)).alias("both")), of)
+    def folded(s: Column) -> Column:
+        return let(F.struct(fold(s["name"]).alias("name"), fold(s["info"]).alias("info"), fold(F.concat_ws(" ", s["name"], s["info"])).alias("both")), of)
+
+    return let(F.struct(F.coalesce(name, F.lit("")).alias("name"), F.coalesce(info, F.lit("")).alias("info")), folded)
 
 
 def clean_reason(reason: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, extract, names
 from ..functions.decisions import listed_in
-from ..functions.text import clean_ws, fold, strip
+from ..functions.text import clean_ws, fold, let, strip
 from ..schemas import DETAIL, SUBJECT
 
 # Labels of the fields, and what ends each.
@@ -43,15 +43,16 @@ def build_subjects(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
     raw = records if "dates" in records.columns else records.withColumn("dates", F.lit(""))
     raw = raw.select("file", "ord", "listNumber", "page", F.col("type").alias("declared"), *(text(c).alias(c) for c in ("name", "info", "reason", "dates", "notes"))).join(own, "file")
     raw = raw.withColumns({"whole": F.concat_ws(" ", "name", "info", "reason", "dates", "notes"), "split": names.split_aliases(F.col("name"))})
+    # The filter on names that are none is pushed down to the records with all it reads: each value is named once (let), or the plan grows manifold.
     raw = raw.withColumn("labelled", F.when(F.col("info") == "", F.col("whole")).otherwise(F.col("info")))
-    raw = raw.withColumns({"main": F.when(F.col("split.name") != "", F.col("split.name")).otherwise(clean_ws(F.when(F.col("name") == "", "Fără nume").otherwise(F.col("name")))), "idnp": F.coalesce(extract.parse_idnp(F.col("info")), extract.parse_idnp(F.col("name")))})
+    raw = raw.withColumns({"main": let(F.col("split.name"), lambda n: F.when(n != "", n).otherwise(clean_ws(F.when(F.col("name") == "", "Fără nume").otherwise(F.col("name"))))), "idnp": F.coalesce(extract.parse_idnp(F.col("info")), extract.parse_idnp(F.col("name")))})
     raw = raw.withColumns({k: extract.field_after(F.col("labelled"), *v) for k, v in FIELDS.items()})
     # The dates of a list without a column of dates stand in the other texts (F-05).
     listed = raw.withColumns({"first": extract.parse_listing(F.concat_ws(" ", "dates", F.substring("reason", 1, 200))), "more": extract.parse_listing(F.concat_ws(" ", "info", "reason"))})
     foreign = F.when(F.col("first.md").isNull(), F.coalesce("first.foreign", "more.foreign")).otherwise(F.col("first.foreign"))
     listed = listed.withColumn("listing", F.struct(foreign.alias("foreign"), F.coalesce("first.md", "more.md").alias("md")))
     typed = listed.withColumns({"type": extract.refine_type(F.col("declared"), F.col("main"), F.col("info")), "citizenship": F.when(F.col("citizenship") == "", F.array().cast("array<string>")).otherwise(extract.citizenship(F.col("citizenship")))})
-    final = F.when(F.col("type") == "person", F.regexp_replace("main", r"(?U)\s+\d{1,2}\*?$", "")).otherwise(F.col("main"))
+    final = let(F.col("main"), lambda m: F.when(F.col("type") == "person", F.regexp_replace(m, r"(?U)\s+\d{1,2}\*?$", "")).otherwise(m))
     local = F.col("idnp").isNotNull() | F.exists("citizenship", lambda c: fold(c).contains("moldova"))
     out = typed.withColumns({"id": F.concat_ws("-", "decisionId", "ord"), "raw_name": F.col("name"), "name": final, "moldova": local, "page": F.when(F.col("page") > 0, F.col("page")).otherwise(1).cast("int")})
     out = out.withColumns({
