@@ -162,7 +162,7 @@ def test_neighbours_under_ties(spark):
 
 
 def test_extraction(spark):
-    assert values(spark, extract.parse_idnp, ["IDNP: 1234567890123", "cod personal 2001234567890", "cod personal 1234567890123", None]) == ["1234567890123", "2001234567890", None, None]
+    assert values(spark, extract.parse_idnp, ["IDNP: 1234567890123", "identificare de stat: 2001234567890", "identificare de stat 1234567890123", "numărul de identificare fiscal: 2001234567890", "cod personal 2001234567890", None]) == ["1234567890123", "2001234567890", None, None, None, None]
     docs = one(spark, extract.parse_documents(F.lit("Pașaport seria AB nr. 123 4567, act XY 765432"), F.lit(None).cast("string")))
     assert [(d.kind, d.series, d.number) for d in docs] == [("pasaport", "AB", "1234567"), ("pasaport", "XY", "765432")] or [(d.series, d.number) for d in docs][-1] == ("XY", "765432")
     listing = one(spark, extract.parse_listing(F.lit("UE - 1.2.2023; RM: 5.6.2024; RM - 31.02.2024")))
