@@ -101,16 +101,18 @@ def assemble(rows: DataFrame, keys: list[str], order: list[str], is_start, text:
     return numbered.groupBy(*keys, "record").agg(F.count("*").alias("rows"), joined.alias(text))
 
 
-def snap_info_edge(rows: DataFrame, edges: DataFrame) -> DataFrame:
+def info_label(words: Column) -> Column:
+    """Left edge of the first label of identification among a row's words, which have x0 and their folded text as f; null without one (L-06)."""
+    hits = F.filter(words, lambda w, i: w["f"].isin(INFO_LABELS) | ((w["f"] == "data") & F.coalesce(F.get(words, i + 1)["f"], F.lit("")).startswith("naster")))
+    return F.get(hits, F.lit(0))["x0"]
+
+
+def snap_to_labels(places: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose second one moves to the labels under it, if three or more align inside its neighbours and more than 10 away (L-06).
 
-    rows has file, page, row, ord, x0, text; edges has file, page, edges. The
-    first label of each row counts; pages without labels keep their edges.
+    places has file, page, x0, a row for each row of words with a label; edges
+    has file, page, edges. Pages without labels keep their edges.
     """
-    after = F.lead("text").over(Window.partitionBy("file", "page", "row").orderBy("x0", "ord"))
-    word = rows.withColumn("_f", fold(F.col("text"))).withColumn("_next", fold(after))
-    labels = word.where(F.col("_f").isin(INFO_LABELS) | ((F.col("_f") == "data") & F.col("_next").startswith("naster")))
-    places = labels.groupBy("file", "page", "row").agg(F.min("x0").alias("x0"))
     best = largest_cluster_edge(places, ["file", "page"], "x0").where("n >= 3").select("file", "page", (F.col("edge") - 4).alias("_edge"))
     e = lambda i: F.get("edges", F.lit(i))
     moves = (F.size("edges") >= 3) & (F.col("_edge") > e(0) + 36) & (F.col("_edge") < e(2) - 24) & (F.abs(F.col("_edge") - e(1)) > 10)
@@ -118,6 +120,13 @@ def snap_info_edge(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(best, ["file", "page"], "left").withColumn("edges", F.when(moves, moved).otherwise(F.col("edges"))).drop("_edge")
 
 
+def snap_info_edge(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``snap_to_labels`` by placed words: rows has file, page, row, ord, x0, text (L-06)."""
+    word = F.struct("x0", "ord", F.col("_f").alias("f"))
+    held = rows.withColumn("_f", fold(F.col("text"))).groupBy("file", "page", "row").agg(F.array_sort(F.collect_list(word)).alias("words"))
+    return snap_to_labels(held.select("file", "page", info_label(F.col("words")).alias("x0")).where("x0 is not null"), edges)
+
+
 def body_sample(lines: DataFrame, most: int = 160, pages: int = 12) -> DataFrame:
     """Rows under each header that are not junk, up to the next page with a header: at most so many, from so many pages (L-08).
 
@@ -134,12 +143,17 @@ def body_sample(lines: DataFrame, most: int = 160, pages: int = 12) -> DataFrame
     return body.withColumn("_place", place).where(F.col("_place") <= most).drop("_place", "_at")
 
 
+def is_footnote(words: Column, width: Column, edges: Column, slack: float = 12, share: float = 0.62) -> Column:
+    """Six or more words, in order of x0, over most of a page's width that fewer than two edges meet (L-11)."""
+    hits = F.size(F.filter(edges, lambda e: F.exists(words, lambda w: F.abs(w["x0"] - e) <= slack)))
+    span = F.try_element_at(words, F.lit(-1))["x1"] - F.get(words, F.lit(0))["x0"]
+    return (F.size(words) >= 6) & (span >= width * share) & (F.size(edges) > 0) & (hits < 2)
+
+
 def footnote_rows(rows: DataFrame, pages: DataFrame, slack: float = 12, share: float = 0.62) -> DataFrame:
-    """Rows of six or more words over most of a page's width that fewer than two edges meet (L-11).
+    """file, page, row of the rows that are footnotes (L-11).
 
     rows has file, page, row, x0, x1; pages has file, page, width, edges. Pages without edges have none.
     """
-    held = rows.groupBy("file", "page", "row").agg(F.count("*").alias("n"), F.max_by("x1", "x0").alias("right"), F.min("x0").alias("left"), F.collect_list("x0").alias("starts"))
-    hits = F.size(F.filter("edges", lambda e: F.exists("starts", lambda x: F.abs(x - e) <= slack)))
-    wide = (F.col("n") >= 6) & (F.col("right") - F.col("left") >= F.col("width") * share)
-    return held.join(pages, ["file", "page"]).where(wide & (F.size("edges") > 0) & (hits < 2)).select("file", "page", "row")
+    held = rows.groupBy("file", "page", "row").agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("words"))
+    return held.join(pages, ["file", "page"]).where(is_footnote(F.col("words"), F.col("width"), F.col("edges"), slack, share)).select("file", "page", "row")

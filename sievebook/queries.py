@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .functions import dates, decisions, text
 from .functions import rows as row_rules
 from .functions.similarity import jaro_winkler_udf, name_score_udf
-from .operators import fuzzy, gate, layout, registry, search
+from .operators import fuzzy, gate, layout, registry, search, tables
 from .sources import publish
 
 QUERIES: dict = {}
@@ -360,6 +360,27 @@ def csv_line(spark, d):
     return table(spark, d, "customer").select("c_custkey", publish.csv_line([F.col("c_custkey"), F.col("c_name"), F.col("c_nationkey"), F.concat(F.col("c_mktsegment"), F.lit("; x,y"))]).alias("line"))
 
 
+@query("""with c as (select c_nationkey, c_custkey, c_mktsegment, row_number() over (partition by c_nationkey order by c_custkey) as ord, c_name from customer)
+select 'f' || cast(c_nationkey as varchar) as file, cast(ord as int) as ord, cast((ord - 1) % 5000 + 1 as varchar) as listNumber, 'entity' as type, c_name as name, c_mktsegment || ' n' || cast(c_nationkey as varchar) as info,
+'motiv ' || cast(c_custkey as varchar) as reason, '' as dates, case when ord % 7 = 0 then 'Precizare de pe rând lat: rectificat azi aici' else '' end as notes, cast((ord - 1) // 20 + 1 as int) as page from c""")
+def table_records(spark, d):
+    # A file of each nation, two rows for each of its customers, 20 customers a page; every seventh has a footnote.
+    c = table(spark, d, "customer")
+    ord_ = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    c = c.select("*", ord_.alias("ord")).withColumn("at", (F.col("ord") - 1) % 20)
+    word = lambda line, x, text: F.struct(F.lit(line).alias("line"), F.lit(float(x)).alias("x0"), text.cast("string").alias("text"))
+    plain = lambda t: F.lit(t)
+    entry = [word(0, 30, F.concat(((F.col("ord") - 1) % 5000 + 1).cast("string"), F.lit("."))), word(0, 55, F.col("c_name")), word(0, 200, F.col("c_mktsegment")), word(0, 400, plain("motiv")), word(0, 440, F.col("c_custkey")), word(1, 200, F.concat(F.lit("n"), F.col("c_nationkey")))]
+    title = [word(-3, 30, plain("A.")), word(-3, 60, plain("Entități")), word(-3, 120, plain("juridice")), word(-2, 60, plain("Nume")), word(-2, 210, plain("Informații")), word(-2, 405, plain("Motivul"))]
+    note = [word(2, 60 + 75 * i, plain(t)) for i, t in enumerate("Precizare de pe rând lat: rectificat azi aici".split())]
+    none = F.array().cast("array<struct<line:int,x0:double,text:string>>")
+    all_words = F.concat(F.array(*entry), F.when(F.col("ord") == 1, F.array(*title)).otherwise(none), F.when(F.col("ord") % 7 == 0, F.array(*note)).otherwise(none))
+    placed = c.select(F.concat(F.lit("f"), F.col("c_nationkey")).alias("file"), (F.floor((F.col("ord") - 1) / 20) + 1).cast("int").alias("page"), "at", F.posexplode(all_words).alias("i", "w"))
+    y = (F.col("at") * 30 + 50 + F.col("w.line") * 9).cast("double")
+    words = placed.select("file", "page", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), (F.col("at") * 100 + F.col("i")).cast("int").alias("ord"), "w.x0", y.alias("y0"), (F.col("w.x0") + 20).alias("x1"), (y + 8).alias("y1"), "w.text")
+    return tables.extract_table(words)[0]
+
+
 _EU = "Punerea în aplicare a măsurilor restrictive internaționale ale Uniunii Europene"
 
 
