@@ -7,6 +7,8 @@ they are read, before a group or a window, so that no later step repeats it.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,17 @@ _COLUMNS = ["name", "info", "reason", "dates"]
 _NO_TEXTS = "array<string>"
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the folder of spark.checkpoint.dir, as several steps read them. Only a session on one machine (tests) may lack it; it gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievebook-"))
+    return df.checkpoint(eager=True)
+
+
 def page_rows(words: DataFrame) -> DataFrame:
     """file, page, row, width, words (by x0, with their folded text f), text, header, junk and kind of each row (L-01, L-02).
 
@@ -128,12 +141,12 @@ def extract_table(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     the last one kept. Pages before the first header are not read; files
     without header, and an empty table, give no rows.
     """
-    rows = page_rows(words)
+    rows = _cut(page_rows(words))
     by_file = Window.partitionBy("file")
     heads = rows.where("page = header_page").select("file", "header_page").distinct().join(header_edges(rows), ["file", "header_page"], "left")
     usable = F.when(F.size("edges") >= 3, F.col("edges"))
-    edges = heads.withColumn("edges", F.last(usable, ignorenulls=True).over(by_file.orderBy("header_page").rowsBetween(Window.unboundedPreceding, 0)))
-    events = _events(rows, edges.where("edges is not null"))
+    edges = _cut(heads.withColumn("edges", F.last(usable, ignorenulls=True).over(by_file.orderBy("header_page").rowsBetween(Window.unboundedPreceding, 0))))
+    events = _cut(_events(rows, edges.where("edges is not null")))
     order = by_file.orderBy("page", "row").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.col("event").isin("start", "section")
     kind = F.when(F.col("event").isin("title", "section"), F.col("kind"))
@@ -163,7 +176,7 @@ def extract_table(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = F.array_join(F.flatten(F.transform("added", lambda a: a["added"])), " ")
     text = whole.select("file", "owner", "r.*", more.alias("_more")).withColumn("notes", let(F.concat_ws(" ", "notes", "_more"), clean_ws))
     ranked = text.withColumn("ord", F.row_number().over(by_file.orderBy("owner")))
-    records = ranked.select("file", "ord", "listNumber", "type", "name", "info", "reason", "dates", "notes", "page")
+    records = _cut(ranked.select("file", "ord", "listNumber", "type", "name", "info", "reason", "dates", "notes", "page"))
     unsure = heads_unsure(edges)
     found = records.select("file").distinct().withColumn("_found", F.lit(True))
     empty = F.when(F.col("_found").isNull(), F.array(F.lit("tabel_fara_randuri"))).otherwise(none)
