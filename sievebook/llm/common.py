@@ -100,20 +100,25 @@ def all_salts(key: Column, heavy: list) -> Column:
 ROWS = 50_000
 
 
+#: A row that carries a text or a set counts like so many slim ones.
+WIDE = 100
+
+
 def few(df: DataFrame, n: int) -> DataFrame:
     """df, derived from a slim table of n rows, in no more tasks than these need: many shuffles of small tables follow each other."""
     return df.coalesce(max(1, -(-n // ROWS)))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of (a, b) links: (node, component), component being the smallest node reached.
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """Connected components of (a, b) links, at most ``most`` of them: (node, component), component being the smallest node reached.
 
     Every node hangs on its smallest smaller neighbour. Those that are no
     node's smaller neighbour are leaves and are set aside, so that the members
     of a star never meet at its hub; what is left, a graph of the other nodes,
     is solved by ``_spanned``.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = cut(edges if most is None else few(edges, most))
     n = edges.count()
     edges = few(edges, n)
     parents = cut(few(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), n))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import LOWER_DIGITS, SPACED, chunks, distinct_by_row, mix, row_of, shingles, span_hashes, word_spans
-from .common import all_salts, bounded, components, cut, few, heavy_keys, lookup, salted, sweep
+from .common import WIDE, all_salts, bounded, components, cut, few, heavy_keys, lookup, salted, sweep
 
 BANDS, ROWS = 25, 5
 _U = np.uint64
@@ -212,22 +212,24 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     # The one step that moves whole texts: the sets of all that share a bucket, for every comparison that follows.
     wanted = few(buckets.select("node").distinct(), total).join(classes.select("node", F.col("first").alias("doc_id")), "node")
     wanted = cut(few(wanted, total))
+    wide = WIDE * wanted.count()
     schema = "node long, n_shingles long, set_a long, set_b long, items binary"
     clear = wanted.join(unlike, "doc_id", "left_anti") if repeated else wanted
-    sets = docs.join(clear, "doc_id").dropDuplicates(["doc_id"]).select("node", "text").mapInArrow(_sets(k), schema).select("node", "items")
+    sets = few(docs.join(clear, "doc_id").dropDuplicates(["doc_id"]).select("node", "text"), wide).mapInArrow(_sets(k), schema).select("node", "items")
     if repeated:  # of an id with unlike texts, the row whose set is the class's
         unclear = wanted.join(unlike, "doc_id", "left_semi")
         several = docs.join(unclear, "doc_id", "left_semi").mapInArrow(_sets(k), schema)
         several = several.withColumn("node", F.xxhash64(*member)).join(unclear.select("node"), "node", "left_semi")
         sets = sets.unionByName(several.select("node", "items").dropDuplicates(["node"]))
-    sets = cut(sets)
+    sets = few(cut(sets), wide)
     sweep(documents.sparkSession)
 
     close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = buckets.select("node", "n", F.col("pivot.node").alias("other"), F.col("pivot.n").alias("m")).where(f"node <> other and {close}").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(confirmed(sets, few(pairs, bands * total), percent))
+    links = confirmed(sets, few(pairs, bands * total), percent)
     sweep(documents.sparkSession)
-    labels = cut(components(links))
+    n_links = links.count()
+    labels = cut(components(links, n_links))
 
     # What is left: pairs of a bucket whose ends are not yet connected. All members of such buckets are joined anew by
     # their rarest shingles, which is exact (prefix filter) and passes over what many of them share.
@@ -237,13 +239,15 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     unsettled = few(lookup(known, mixed, ["key"], "size", how="inner"), bands * total).groupBy("node", "n").agg(F.first("label").alias("label"))
     more = prefix_links(sets, unsettled, percent)
     sweep(documents.sparkSession)
-    if not more.isEmpty():
-        labels = cut(components(links.unionByName(more)))
+    n_more = more.count()
+    if n_more:
+        labels = cut(components(links.unionByName(more), n_links + n_more))
 
     of_class = few(classes.join(labels, "node", "left"), total).select(*member, "members", "first", F.coalesce("component", "node").alias("label"))
     lowest = few(labels.join(classes, "node"), total).groupBy(F.col("component").alias("label")).agg(F.min("first").alias("lowest"))
     of_class = few(of_class.join(few(lowest, total), "label", "left"), total)
     of_class = cut(of_class.select(*member, "members", "label", F.coalesce("lowest", "first").alias("component_id")))
+    sweep(documents.sparkSession)
     columns = ["doc_id", "n_shingles", "component_id", "mark", "label"]
     alone = profiles.where(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "mark", F.lit(None).cast("long").alias("label"))
     judged_rows = lookup(usable, of_class, member, "members").select(*columns).unionByName(alone)
@@ -263,7 +267,7 @@ def prefix_links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     holders are not all connected give all their pairs.
     """
     nodes = cut(nodes)
-    m = 100 * nodes.count()  # rows of a hundred shingles count like slim ones
+    m = WIDE * nodes.count()
     nodes = few(nodes, m)
     lists = few(sets.join(nodes, "node", "left_semi"), m).mapInArrow(_lists, "node long, items array<long>, " + ", ".join(f"{x} long" for x in PARITY))
     lists = cut(few(lists.join(nodes, "node"), m))
@@ -278,13 +282,15 @@ def prefix_links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     bits = lists.select("node", *PARITY)
 
     first = _prefix_pairs(placed, bits, percent, m, star=True)
-    links = cut(confirmed(sets, first, percent))
-    if not links.isEmpty():
+    links = confirmed(sets, first, percent)
+    sweep(sets.sparkSession)
+    n = links.count()
+    if n:
         labelled = few(placed.select("node", "label").distinct(), m)
         by_label = links.join(labelled.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labelled.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-        merged = components(by_label.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "label")
+        merged = components(by_label.select(F.col("x").alias("a"), F.col("y").alias("b")), n).withColumnRenamed("node", "label")
         placed = cut(few(placed.join(merged, "label", "left"), m).withColumn("label", F.coalesce("component", "label")).drop("component"))
-    return links.unionByName(cut(confirmed(sets, _prefix_pairs(placed, bits, percent, m, star=False), percent)))
+    return links.unionByName(confirmed(sets, _prefix_pairs(placed, bits, percent, m, star=False), percent))
 
 
 #: Sets that look for each other are dealt by size, in classes of this ratio.
@@ -305,7 +311,7 @@ def _prefix_pairs(placed: DataFrame, bits: DataFrame, percent: int, m: int, star
     ends = small.groupBy("item", "class").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("pivot"))
     reach = large.groupBy("item", "class").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("rows"))
     open_ = cut(few(few(ends, m).join(few(reach, m), ["item", "class"]), m).where("least(lo, l) < greatest(hi, h)").select("item", "class", "pivot", "rows"))
-    heavy = heavy_keys(open_.groupBy("item").agg(F.sum("rows").alias("n")), "item", "n")
+    heavy = heavy_keys(few(open_.groupBy("item").agg(F.sum("rows").alias("n")), m), "item", "n")
     small = few(small.join(open_.drop("rows"), ["item", "class"]), m)
     if star:
         small = small.where("node = pivot")
@@ -314,10 +320,10 @@ def _prefix_pairs(placed: DataFrame, bits: DataFrame, percent: int, m: int, star
     small = small.withColumn("salt", F.explode(all_salts(F.col("item"), heavy)))
     joined = large.withColumn("salt", salted(F.col("item"), F.col("node"), heavy)).join(small, ["item", "class", "salt"])
     fits = f"label <> other_label and node <> other and (m < n or (m = n and other < node)) and 100 * m >= {percent} * n"
-    joined = joined.where(F.expr(fits) & (F.least(F.expr("n - place"), F.expr("m - other_place")) >= asked("n", "m"))).select("node", "n", "other", "m").distinct()
+    joined = few(joined.where(F.expr(fits) & (F.least(F.expr("n - place"), F.expr("m - other_place")) >= asked("n", "m"))).select("node", "n", "other", "m").distinct(), m)
     # Sets differ in at least as many items as their parity bits differ.
     theirs = bits.select(F.col("node").alias("other"), *(F.col(x).alias(f"o{x}") for x in PARITY))
-    joined = joined.join(bits, "node").join(theirs, "other")
+    joined = few(few(joined.join(bits, "node"), m).join(theirs, "other"), m)
     apart = " + ".join(f"bit_count({x} ^ o{x})" for x in PARITY)
     alike = f"{apart} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent})"
     return joined.where(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
@@ -327,10 +333,15 @@ def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs whose full sets, rows of (node, items), are alike enough.
 
     The set of b travels with its pair; that of a, which many pairs may share,
-    is brought to each of the tasks over which a's pairs are dealt.
+    is brought to each of the tasks over which a's pairs are dealt. The result
+    is written once; its tasks follow the number of pairs.
     """
     pairs = cut(pairs)
-    heavy = heavy_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "n")
-    with_b = pairs.withColumn("salt", salted(F.col("a"), F.col("b"), heavy)).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    of_a = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("items").alias("x"), F.explode(all_salts(F.col("node"), heavy)).alias("salt"))
-    return with_b.join(of_a, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+    n = pairs.count()
+    pairs, wide = few(pairs, n), WIDE * n
+    heavy = heavy_keys(few(pairs.groupBy("a").agg(F.count("*").alias("n")), n), "a", "n")
+    with_b = few(pairs.withColumn("salt", salted(F.col("a"), F.col("b"), heavy)).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"), wide)
+    of_a = few(sets.join(few(pairs.select(F.col("a").alias("node")).distinct(), n), "node", "left_semi"), wide)
+    of_a = of_a.select(F.col("node").alias("a"), F.col("items").alias("x"), F.explode(all_salts(F.col("node"), heavy)).alias("salt"))
+    both = few(with_b.join(of_a, ["a", "salt"]).select("a", "b", "x", "y"), wide)
+    return few(cut(both.mapInArrow(_confirm(percent), "a long, b long")), n)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .common import bounded, cut
+from .common import bounded, cut, few, sweep
 
 WINDOW = 1024
 #: In combinations of three lengths the smallest is a multiple of this.
@@ -190,8 +190,9 @@ def pack(documents: DataFrame, path: str, pattern: str, window: int = WINDOW) ->
     parts = cut(docs.mapInArrow(_measure(path, pattern, window), "doc_id long, mark long, part long, tokens long, rest long, rank long, whole_before long, whole_crc array<long>, rest_crc long"))
 
     # Ranks across partitions: running sums over one row for each partition and length.
+    n_rows = parts.count()
     sized = parts.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.size("whole_crc")).alias("whole"))
-    sized = cut(sized)
+    sized = cut(few(sized, n_rows))
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sized.select("part", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_before"))
     by_part = sized.groupBy("part").agg(F.sum("whole").alias("whole"))
@@ -202,7 +203,10 @@ def pack(documents: DataFrame, path: str, pattern: str, window: int = WINDOW) ->
         histogram[rest] = n if rest else 0
         whole += w
     placed, left, used, total = layout(histogram, window)
-    numbered = parts.join(ranked.join(by_part, "part"), ["part", "rest"]).withColumn("place", F.col("rank") + F.col("rank_before"))
+    ranked = few(ranked.join(by_part, "part"), n_rows)
+    # Read by each kind of piece below, so it is written once.
+    numbered = cut(few(parts.join(ranked, ["part", "rest"]), n_rows).withColumn("place", F.col("rank") + F.col("rank_before")))
+    sweep(spark)
 
     own = numbered.where("size(whole_crc) > 0").select("doc_id", "tokens", "whole_before", "part_whole", F.posexplode("whole_crc").alias("i", "crc"))
     pieces = own.select("doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), (F.col("part_whole") + F.col("whole_before") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
