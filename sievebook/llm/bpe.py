@@ -13,8 +13,10 @@ token. States and moves are made when first needed.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -249,30 +251,46 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode_decode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; null is the empty text.
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Python's search for cycles rests: states, moves and ids are many and hold no cycles, so it finds nothing among them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
-    Each match of the pattern is encoded separately and no special tokens
-    apply. Rows are independent: repeated ids give repeated rows, null ids
-    stay null, other columns are not read. Texts of any length are taken
-    whole; memory follows the longest one.
-    """
 
+def _coded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             counts, ids_sha, back_sha = [], [], []
-            for value in batch.column(1):
-                joined = own.encode_text(value.as_py() or "")
-                ids = joined.split(",") if joined else []
-                digest = hashlib.sha256()
-                for part in own.decode_stream(ids):
-                    digest.update(part)
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                back_sha.append(digest.hexdigest())
+            with uncollected():
+                for value in batch.column(1):
+                    joined = own.encode_text(value.as_py() or "")
+                    ids = joined.split(",") if joined else []
+                    digest = hashlib.sha256()
+                    for part in own.decode_stream(ids):
+                        digest.update(part)
+                    counts.append(len(ids))
+                    ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
+                    back_sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    return run
+
+
+def encode_decode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; null is the empty text.
+
+    Each match of the pattern is encoded separately and no special tokens
+    apply. Rows are independent: repeated ids give repeated rows, null ids
+    stay null, other columns are not read. Texts of any length are taken
+    whole; memory follows the longest one.
+    """
     bounded(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(_coded(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
