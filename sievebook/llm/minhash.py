@@ -215,7 +215,7 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     wide = WIDE * wanted.count()
     schema = "node long, n_shingles long, set_a long, set_b long, items binary"
     clear = wanted.join(unlike, "doc_id", "left_anti") if repeated else wanted
-    sets = few(docs.join(clear, "doc_id").dropDuplicates(["doc_id"]).select("node", "text"), wide).mapInArrow(_sets(k), schema).select("node", "items")
+    sets = few(docs.join(clear, "doc_id").dropDuplicates(["doc_id"]).select("node", "text"), WIDE * total).mapInArrow(_sets(k), schema).select("node", "items")
     if repeated:  # of an id with unlike texts, the row whose set is the class's
         unclear = wanted.join(unlike, "doc_id", "left_semi")
         several = docs.join(unclear, "doc_id", "left_semi").mapInArrow(_sets(k), schema)
@@ -226,7 +226,7 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
 
     close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = buckets.select("node", "n", F.col("pivot.node").alias("other"), F.col("pivot.n").alias("m")).where(f"node <> other and {close}").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(sets, few(pairs, bands * total), percent)
+    links = confirmed(sets, few(pairs, bands * total), percent, wide)
     sweep(documents.sparkSession)
     n_links = links.count()
     labels = cut(components(links, n_links))
@@ -237,7 +237,7 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key", "size")
     mixed = cut(few(mixed, bands * total))
     unsettled = few(lookup(known, mixed, ["key"], "size", how="inner"), bands * total).groupBy("node", "n").agg(F.first("label").alias("label"))
-    more = prefix_links(sets, unsettled, percent)
+    more = prefix_links(sets, unsettled, percent, wide)
     sweep(documents.sparkSession)
     n_more = more.count()
     if n_more:
@@ -254,7 +254,7 @@ def judged(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     return judged_rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "mark", "label")
 
 
-def prefix_links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def prefix_links(sets: DataFrame, nodes: DataFrame, percent: int, wide: int | None = None) -> DataFrame:
     """(a, b) confirmed links between nodes, rows of (node, n, label), that connect all of them that links of different labels can connect.
 
     Two sets as alike as asked share an item; take the first in a common
@@ -267,9 +267,10 @@ def prefix_links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     holders are not all connected give all their pairs.
     """
     nodes = cut(nodes)
+    wide = WIDE * sets.count() if wide is None else wide
     m = WIDE * nodes.count()
     nodes = few(nodes, m)
-    lists = few(sets.join(nodes, "node", "left_semi"), m).mapInArrow(_lists, "node long, items array<long>, " + ", ".join(f"{x} long" for x in PARITY))
+    lists = few(sets.join(nodes, "node", "left_semi"), wide).mapInArrow(_lists, "node long, items array<long>, " + ", ".join(f"{x} long" for x in PARITY))
     lists = cut(few(lists.join(nodes, "node"), m))
     held = lists.select("node", F.explode("items").alias("item"))
     often = few(held.groupBy("item").agg(F.count("*").alias("often")).where("often > 1"), m)
@@ -282,7 +283,7 @@ def prefix_links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     bits = lists.select("node", *PARITY)
 
     first = _prefix_pairs(placed, bits, percent, m, star=True)
-    links = confirmed(sets, first, percent)
+    links = confirmed(sets, first, percent, wide)
     sweep(sets.sparkSession)
     n = links.count()
     if n:
@@ -290,7 +291,7 @@ def prefix_links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         by_label = links.join(labelled.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labelled.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
         merged = components(by_label.select(F.col("x").alias("a"), F.col("y").alias("b")), n).withColumnRenamed("node", "label")
         placed = cut(few(placed.join(merged, "label", "left"), m).withColumn("label", F.coalesce("component", "label")).drop("component"))
-    return links.unionByName(confirmed(sets, _prefix_pairs(placed, bits, percent, m, star=False), percent))
+    return links.unionByName(confirmed(sets, _prefix_pairs(placed, bits, percent, m, star=False), percent, wide))
 
 
 #: Sets that look for each other are dealt by size, in classes of this ratio.
@@ -329,19 +330,20 @@ def _prefix_pairs(placed: DataFrame, bits: DataFrame, percent: int, m: int, star
     return joined.where(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
-def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int, wide: int | None = None) -> DataFrame:
     """The (a, b) pairs whose full sets, rows of (node, items), are alike enough.
 
     The set of b travels with its pair; that of a, which many pairs may share,
-    is brought to each of the tasks over which a's pairs are dealt. The result
-    is written once; its tasks follow the number of pairs.
+    is brought to each of the tasks over which a's pairs are dealt. Steps that
+    read all sets have tasks for these (``wide``: their number times WIDE),
+    however few the pairs are; the result, written once, for the pairs.
     """
     pairs = cut(pairs)
     n = pairs.count()
-    pairs, wide = few(pairs, n), WIDE * n
+    pairs, wide = few(pairs, n), WIDE * sets.count() if wide is None else wide
     heavy = heavy_keys(few(pairs.groupBy("a").agg(F.count("*").alias("n")), n), "a", "n")
-    with_b = few(pairs.withColumn("salt", salted(F.col("a"), F.col("b"), heavy)).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"), wide)
+    with_b = few(pairs.withColumn("salt", salted(F.col("a"), F.col("b"), heavy)).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"), max(wide, WIDE * n))
     of_a = few(sets.join(few(pairs.select(F.col("a").alias("node")).distinct(), n), "node", "left_semi"), wide)
     of_a = of_a.select(F.col("node").alias("a"), F.col("items").alias("x"), F.explode(all_salts(F.col("node"), heavy)).alias("salt"))
-    both = few(with_b.join(of_a, ["a", "salt"]).select("a", "b", "x", "y"), wide)
+    both = few(with_b.join(of_a, ["a", "salt"]).select("a", "b", "x", "y"), WIDE * n)
     return few(cut(both.mapInArrow(_confirm(percent), "a long, b long")), n)
