@@ -49,8 +49,8 @@ def column_starts(rows: DataFrame, gap: float = 11) -> DataFrame:
 
 
 def gap_clusters(values: DataFrame, keys: list[str], value: str, gap: float) -> DataFrame:
-    """Adds cluster: a new one begins after a step wider than gap (L-05)."""
-    w = Window.partitionBy(*keys).orderBy(value)
+    """Adds cluster: a new one begins after a step wider than gap (L-05). Rows without a value come last."""
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(value))
     jump = F.when(F.col(value) - F.lag(value).over(w) > gap, 1).otherwise(0)
     return values.withColumn("_jump", jump).withColumn("cluster", F.sum("_jump").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_jump")
 

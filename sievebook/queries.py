@@ -332,7 +332,8 @@ def leader_clusters(spark, d):
 @query("""with e as (select user_id, event_id, epoch(ts)::bigint as sec from events), j as (select *, case when sec - lag(sec) over (partition by user_id order by sec, event_id) > 43200 then 1 else 0 end as jump from e)
 select user_id, event_id, cast(sum(jump) over (partition by user_id order by sec, event_id rows unbounded preceding) as bigint) as cluster from j""")
 def gap_clusters(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec"))
+    # The SQL's seconds are rounded, halves to even; times have fractions.
+    e = table(spark, d, "events").select("user_id", "event_id", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("sec"))
     return layout.gap_clusters(e, ["user_id"], "sec", 43200).select("user_id", "event_id", "cluster")
 
 
