@@ -20,6 +20,8 @@ CYRILLIC = {
 }
 # Spellings taken for the same sound, in this order.
 SOUNDS = [("sch", "s"), ("sh", "s"), ("ch", "c"), ("kh", "h"), ("ks", "x"), ("ts", "t"), ("y", "i"), ("ii", "i")]
+# What a folded text keeps, letter by letter: Java looks these up at once, where it tries ranges one after the other.
+KEPT = "abcdefghijklmnopqrstuvwxyz0123456789"
 #: Blocks whose letters are decomposed by a generated table.
 BLOCKS = [(0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2070, 0x209C), (0x2160, 0x217F), (0x2460, 0x24E9), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
 
@@ -51,30 +53,50 @@ def fold(text: Column, variant: str = "build") -> Column:
     compatibility characters; ``search`` turns both into blanks.
     """
     plain = F.lower(F.coalesce(text, F.lit("")))
-    x = F.when(plain.rlike(r"[^\x00-\x7F]"), _latin(plain, variant)).otherwise(plain)
-    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+    latin = let(plain, lambda p: F.when(_beyond_ascii(p), _latin(p, variant)).otherwise(p))
+    return F.trim(F.regexp_replace(latin, f"[^{KEPT}]+", " "))
+
+
+def _beyond_ascii(x: Column) -> Column:
+    return F.octet_length(x) != F.length(x)
+
+
+def _ranges(letters: str) -> str:
+    """A pattern's class of these letters, runs as ranges: Java tries the members of a class one by one."""
+    runs: list[list[str]] = []
+    for c in sorted(letters):
+        if runs and ord(c) == ord(runs[-1][1]) + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(lo if lo == hi else f"{lo}-{hi}" for lo, hi in runs)
 
 
 def _latin(x: Column, variant: str) -> Column:
-    """Lower-case text with its letters in Latin ones; rare letters are looked for before each is replaced."""
-    y = x
+    """Lower-case text with its letters in Latin ones: first those that have one letter for theirs, then, if anything is left, the rare ones and marks.
+
+    Patterns are tried character by character, so few are used, and only where a text needs them.
+    """
+    build = variant == "build"
     for letter, latin in CYRILLIC.items():
         if len(latin) == 2:
-            y = F.replace(y, F.lit(letter), F.lit(latin))
+            x = F.replace(x, F.lit(letter), F.lit(latin))
     single = {k: v for k, v in CYRILLIC.items() if len(v) == 1}
-    gone = "".join(k for k, v in CYRILLIC.items() if not v)
-    y = F.translate(y, "".join(single) + gone, "".join(single.values()))
-    if variant == "build":
-        y = F.regexp_replace(y, "[Ѐ-ӿ]", "")
-    x = F.when(x.rlike("[Ѐ-ӿ]"), y).otherwise(x)
-    letters, bases, longer = decompositions(variant == "build")
-    if longer:
+    gone = [k for k, v in CYRILLIC.items() if not v]
+    if build:
+        gone += [chr(c) for c in range(0x400, 0x500) if chr(c) not in CYRILLIC]
+    letters, bases, longer = decompositions(build)
+    x = F.translate(x, "".join(single) + letters + "".join(gone), "".join(single.values()) + bases)
+
+    def rest(x: Column) -> Column:
         y = x
-        for letter, base in longer:
-            y = F.replace(y, F.lit(letter), F.lit(base))
-        x = F.when(x.rlike("[" + "".join(letter for letter, _ in longer) + "]"), y).otherwise(x)
-    x = F.translate(x, letters, bases)
-    return F.regexp_replace(x, r"\p{Mn}" if variant == "build" else r"\p{M}", "")
+        if longer:
+            found = F.array_distinct(F.regexp_extract_all(x, F.lit(f"([{_ranges(''.join(c for c, _ in longer))}])"), F.lit(1)))
+            base = F.create_map(*(F.lit(s) for pair in longer for s in pair))
+            y = F.aggregate(found, x, lambda y, c: F.replace(y, c, F.element_at(base, c)))
+        return F.when(_beyond_ascii(x), F.regexp_replace(y, r"\p{Mn}" if build else r"\p{M}", "")).otherwise(x)
+
+    return let(x, rest)
 
 
 def canon(token: Column) -> Column:
