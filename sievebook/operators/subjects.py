@@ -9,6 +9,7 @@ from ..functions import dates, extract, names
 from ..functions.decisions import listed_in
 from ..functions.text import clean_ws, fold, let, strip
 from ..schemas import DETAIL, SUBJECT
+from ..tasks import spread
 
 # Labels of the fields, and what ends each.
 BIRTH = r"Data na[sș]terii|n[aă]scut[ăa]?\s+la(?:\s+data\s+de)?"
@@ -40,6 +41,8 @@ def build_subjects(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     own = decisions.where(listed_in(F.struct("kind", "status"))).select("file", F.col("id").alias("decisionId"), "regime", (F.col("status") == "in_force").alias("active"))
+    # A record takes long: a small file of many is dealt to all tasks.
+    records = spread(records, "file", "ord")
     raw = records if "dates" in records.columns else records.withColumn("dates", F.lit(""))
     raw = raw.select("file", "ord", "listNumber", "page", F.col("type").alias("declared"), *(text(c).alias(c) for c in ("name", "info", "reason", "dates", "notes"))).join(own, "file")
     raw = raw.withColumns({"whole": F.concat_ws(" ", "name", "info", "reason", "dates", "notes"), "split": names.split_aliases(F.col("name"))})
