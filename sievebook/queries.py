@@ -99,11 +99,13 @@ def join_enrich_left(spark, d):
 @query(f"""with k as (select doc_id, md5({FOLD.format('text')}) as key from documents)
 select a.doc_id, min(b.doc_id) as first_sibling, count(*) as siblings from k a join k b on a.key = b.key and a.doc_id <> b.doc_id group by a.doc_id""")
 def sibling_self_join(spark, d):
-    # Siblings of a record are all of its group but itself: counted by group, no pairs are formed.
+    # Siblings of a record are all of its group with another id: counted by group, no pairs are formed, and each text is folded once.
     k = table(spark, d, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("key"))
-    g = k.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo")).where("n > 1")
-    second = k.join(g, "key").where("doc_id > lo").groupBy("key").agg(F.min("doc_id").alias("next"))
-    return k.join(g, "key").join(second, "key").select("doc_id", F.when(F.col("doc_id") == F.col("lo"), F.col("next")).otherwise(F.col("lo")).alias("first_sibling"), (F.col("n") - 1).alias("siblings"))
+    w = Window.partitionBy("key")
+    k = k.withColumns({"n": F.count("*").over(w), "lo": F.min("doc_id").over(w)}).where("n > 1")
+    k = k.withColumns({"next": F.min(F.when(F.col("doc_id") > F.col("lo"), F.col("doc_id"))).over(w), "own": F.count("*").over(Window.partitionBy("key", "doc_id"))})
+    k = k.where("n > own").select("doc_id", F.when(F.col("doc_id") == F.col("lo"), F.col("next")).otherwise(F.col("lo")).alias("first"), (F.col("n") - F.col("own")).alias("others"))
+    return k.groupBy("doc_id").agg(F.min("first").alias("first_sibling"), F.sum("others").alias("siblings"))
 
 
 @query(f"""with p as (select *, array_to_string(list_sort(string_split({FOLD.format('p_name')}, ' ')), ' ') as nm from part)
