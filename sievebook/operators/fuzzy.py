@@ -32,20 +32,26 @@ def birth_adjusted(score: Column, asked: Column, known: Column) -> tuple[Column,
 def find(queries: DataFrame, rows: DataFrame, threshold: Column | float = 0.82, limit: int = 10, birth: str = "birth") -> DataFrame:
     """Best variant of each subject for each (query_id, query, birth), by score, ties in load order (M-04, O-17).
 
-    Candidates share the first two characters of a token. Pairs are made
-    distinct before scoring, and equal token lists are scored once.
+    Candidates share the first two characters of a token. Equal queries are
+    one, equal token lists are scored once, and of records of equal tokens and
+    birth dates the first ``limit`` are held: later ones cannot be found.
     """
-    asked = queries.withColumn("q", text.tokens(F.col("query"))).where("size(q) > 0")
-    left = asked.withColumn("block", F.explode(blocks(F.col("q"))))
+    asked = queries.select("query_id", text.tokens(F.col("query")).alias("q"), F.coalesce(F.col(birth).cast("string"), F.lit("")).alias("asked")).where("size(q) > 0")
     known = variants(rows)
-    pairs = left.join(known, "block").select("query_id", "q", F.col(birth).alias("asked"), "id", "ord", "birthDate", "tokens").distinct()
-    scored = pairs.select("q", "tokens").distinct().withColumn("base", name_score_udf("q", "tokens"))
-    pairs = pairs.join(scored, ["q", "tokens"])
+    forms = asked.select("q").distinct().withColumn("block", F.explode(blocks(F.col("q"))))
+    scored = forms.join(known.select("tokens", "block").distinct(), "block").select("q", "tokens").distinct().withColumn("base", name_score_udf("q", "tokens"))
+    place = F.row_number().over(Window.partitionBy("tokens", "birthDate").orderBy("ord"))
+    first = known.select("tokens", "id", "ord", "birthDate").distinct().withColumn("place", place).where(F.col("place") <= limit).drop("place")
+    pairs = asked.select("q", "asked").distinct().join(scored, "q").join(first, "tokens")
     score, check = birth_adjusted(F.col("base"), F.col("asked"), F.col("birthDate"))
     best = pairs.withColumns({"score": score, "birthCheck": check}).where(F.col("score") >= threshold)
-    best = best.groupBy("query_id", "id", "ord").agg(F.max("score").alias("score"), F.max_by("birthCheck", "score").alias("birthCheck"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+    def ranked(found: DataFrame, *keys: str) -> DataFrame:
+        found = found.groupBy(*keys, "id", "ord").agg(F.max("score").alias("score"), F.max_by("birthCheck", "score").alias("birthCheck"))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "ord"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+    return ranked(asked.join(ranked(best, "q", "asked").drop("rank"), ["q", "asked"]), "query_id")
 
 
 def suggestions(found: DataFrame, indexed: DataFrame, q: str, limit: int = 8) -> DataFrame | None:
